@@ -32,3 +32,12 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 def id_remainder(column: str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % mod
+
+
+#: Rows of the smaller side up to which a join on 64-bit keys is broadcast: some tens of MB. Beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_or_shuffled(df: DataFrame, n: int) -> DataFrame:
+    """``df`` of ``n`` rows of a few numbers each, marked for broadcast if that is within the bound."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
