@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import langid, repeats, sharding, topk, toxicity
+from helixframe.llm import langid, packing, repeats, sharding, topk, toxicity
 from helixframe.llm.common import id_remainder, read
 
 
@@ -42,12 +42,26 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard")
 
 
+def vocabulary(path: str | None = None) -> str:
+    """Text of the tokenizer file, read on the driver; the installed public one unless a path is given."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_toxicity, op3_topk, op4_langid, op6_sharding, op10_repeats)
+    own = (op2_toxicity, op3_topk, op4_langid, op6_sharding, op8_packing, op10_repeats)
     return {f.__name__: f for f in own}
 
 
