@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import langid, packing, repeats, sharding, topk, toxicity
+from helixframe.llm import langid, ngramjoin, packing, repeats, sharding, topk, toxicity
 from helixframe.llm.common import id_remainder, read
 
 
@@ -37,6 +37,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.groups(read(spark, sf_dir, "documents"), num=90, den=100, n=3)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(read(spark, sf_dir, "documents"), 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard")
@@ -61,7 +65,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_toxicity, op3_topk, op4_langid, op6_sharding, op8_packing, op10_repeats)
+    own = (op2_toxicity, op3_topk, op4_langid, op5_ngramjoin, op6_sharding, op8_packing, op10_repeats)
     return {f.__name__: f for f in own}
 
 
