@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import langid, ngramjoin, packing, repeats, sharding, topk, toxicity
+from helixframe.llm import decontam, langid, ngramjoin, packing, repeats, sharding, topk, toxicity
 from helixframe.llm.common import id_remainder, read
 
 
@@ -60,14 +60,28 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_hits", "n_item")
+
+
+_WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+OP9_SQL = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
+n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY 1)
+SELECT doc_id, item_id, count(*) AS n_hits, any_value(n_item) AS n_item FROM ds JOIN bs USING (s) JOIN n USING (item_id)
+GROUP BY doc_id, item_id HAVING count(*) * 10 >= any_value(n_item) * 8"""
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_toxicity, op3_topk, op4_langid, op5_ngramjoin, op6_sharding, op8_packing, op10_repeats)
+    own = (op2_toxicity, op3_topk, op4_langid, op5_ngramjoin, op6_sharding, op8_packing, op9_decontam, op10_repeats)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3_SQL}
+    return {"op3_topk": OP3_SQL, "op9_decontam": OP9_SQL}
