@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontam, langid, ngramjoin, packing, repeats, sharding, topk, toxicity
+from helixframe.llm import decontam, langid, ngramjoin, packing, pii, quotes, repeats, sharding, topk, toxicity
 from helixframe.llm.common import id_remainder, read
 
 
+#: A key for runs of the queries; a real run gives its own, from where it keeps its secrets.
+PII_KEY = "example key"
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY, count_col="n_replaced")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     machine = toxicity.fit(docs, read(spark, sf_dir, "labels"), id_remainder("doc_id", 5) != 0)
@@ -46,6 +55,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard")
 
 
+def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(read(spark, sf_dir, "conversations"))
+
+
 def vocabulary(path: str | None = None) -> str:
     """Text of the tokenizer file, read on the driver; the installed public one unless a path is given."""
     if path is None:
@@ -79,7 +92,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_toxicity, op3_topk, op4_langid, op5_ngramjoin, op6_sharding, op8_packing, op9_decontam, op10_repeats)
+    own = (op1_pii, op2_toxicity, op3_topk, op4_langid, op5_ngramjoin, op6_sharding, op7_quotes, op8_packing, op9_decontam, op10_repeats)
     return {f.__name__: f for f in own}
 
 

@@ -13,11 +13,10 @@ def shingles(text, n):
 
 def brute(docs, items, n=5, num=8, den=10):
     out = []
+    asked = [(i, shingles(b, n)) for i, b in set(items)]
     for d, t in docs:
-        for i, b in set(items):
-            x = shingles(b, n)
-            if x and den * len(x & shingles(t, n)) >= num * len(x):
-                out.append((d, i, len(x & shingles(t, n)), len(x)))
+        own = shingles(t, n)
+        out += [(d, i, len(x & own), len(x)) for i, x in asked if x and den * len(x & own) >= num * len(x)]
     return sorted(out, key=str)
 
 
