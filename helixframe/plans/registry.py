@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.plans import units
+from helixframe.plans import alignments, sequences, units
 
-MODULES = (units,)
+MODULES = (units, alignments, sequences)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
