@@ -2,7 +2,7 @@
 
 1. Texts that equal an earlier text are set aside by hash: all their windows begin earlier, so nothing need be searched.
 2. Recompression (``recompress``) gives each window of ``width`` words an anchor. Anchors are counted over the corpus.
-3. Only windows whose anchor is met more than once go on. Each is verified by a 128-bit hash of all its words, and the
+3. Only windows whose anchor is met more than once go on. Each is verified by a 96-bit hash of all its words, and the
    earliest document and place of each hash is found by aggregation; the others are repeats.
 4. Each document drops the words that its repeats cover.
 
@@ -85,8 +85,8 @@ def _window_rows(width: int):
                 w1, _, place = grams(words, row, width)
                 w2, _, _ = grams(two.hashes(raw, starts, ends), row, width)
                 first = np.searchsorted(row, row[place])
-                cols = [pa.array(w1[hit].view(np.int64)), pa.array(w2[hit].view(np.int64)), b.column("first_id").take(pa.array(row[place][hit])), b.column("t1").take(pa.array(row[place][hit])), pa.array((place - first)[hit].astype(np.int32))]
-                yield pa.record_batch(cols, names=["w1", "w2", "first_id", "t1", "pos"])
+                cols = [pa.array(w1[hit].view(np.int64)), pa.array((w2[hit] >> np.uint64(33)).astype(np.int32)), b.column("first_id").take(pa.array(row[place][hit])), pa.array((b.column("t1").to_numpy() >> 32).astype(np.int32)[row[place][hit]]), pa.array((place - first)[hit].astype(np.int32))]
+                yield pa.record_batch(cols, names=["w1", "w2", "first_id", "tie", "pos"])
 
     return run
 
@@ -139,13 +139,18 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     # the texts that have such anchors, once each
     held = first.select("doc_id", "text", "t1", "t2").join(small_or_shuffled(marked.select("t1"), marked.count()), "t1", "left_semi").select(F.col("doc_id").alias("first_id"), "text", "t1", "t2").join(marked, "t1")
     held = stored(spark, held, "held")
-    windows = held.mapInArrow(_window_rows(width), "w1 long, w2 long, first_id long, t1 long, pos int")
-    place = F.struct(F.coalesce("first_id", F.lit(2**63 - 1)).alias("id"), "t1", "pos")
+    windows = held.mapInArrow(_window_rows(width), "w1 long, w2 int, first_id long, tie int, pos int")
+    # documents in order: by id, those of one id by the upper half of their text's hash
+    last = F.lit(2**63 - 1)
+    place = F.struct(F.coalesce("first_id", last).alias("id"), "tie", "pos")
     windows = windows.select("w1", "w2", place.alias("place"))
     earliest = windows.groupBy("w1", "w2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2", "first")
     again = windows.join(earliest, ["w1", "w2"]).filter("place <> first")
-    places = again.groupBy(F.col("place.t1").alias("t1")).agg(F.collect_set("place.pos").alias("places"))  # bounded by one text
-    cleaned = held.select("t1", "t2", "text").join(places, "t1").mapInArrow(_remove(width), "t1 long, t2 long, n_gone long, kept_text string, kept_sha string")
+    places = again.groupBy(F.col("place.id").alias("id"), F.col("place.tie").alias("tie")).agg(F.collect_set("place.pos").alias("places"))  # bounded by one text
+    places = stored(spark, places, "places")
+    losing = held.select("t1", "t2", "text", F.coalesce("first_id", last).alias("id"), F.shiftright("t1", 32).cast("int").alias("tie"))
+    losing = losing.join(small_or_shuffled(places.select("id", "tie"), places.count()), ["id", "tie"], "left_semi")
+    cleaned = losing.join(places, ["id", "tie"]).mapInArrow(_remove(width), "t1 long, t2 long, n_gone long, kept_text string, kept_sha string")
     return facts, cleaned
 
 
