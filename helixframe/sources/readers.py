@@ -116,7 +116,7 @@ def peak_table(spark: SparkSession, path: str) -> DataFrame:
 
 def cluster_list(spark: SparkSession, path: str) -> DataFrame:
     """(cluster, read_ordinal): line n lists the reads of cluster n. One file, read whole: lines are numbered."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("cluster", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("cluster", "line"))
     return lines.select("cluster", F.explode(F.filter(F.transform(F.split("line", r"\s+"), lambda x: x.try_cast("bigint")), lambda x: x.isNotNull())).alias("read_ordinal"))
 
 
