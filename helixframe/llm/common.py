@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,3 +42,12 @@ BROADCAST_ROWS = 1_000_000
 def small_or_shuffled(df: DataFrame, n: int) -> DataFrame:
     """``df`` of ``n`` rows of a few numbers each, marked for broadcast if that is within the bound."""
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once for each row, wherever the optimizer moves the expression.
+
+    A column of an earlier select is no substitute: filters pushed below it take its expression into themselves, and
+    inside a lambda that is then worked out for each element.
+    """
+    return F.transform(F.array(value), use)[0]

@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.common import bound
+
 ROUNDS = 10
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 _DAYS = 17 * 4297  # 1900-01-01 to 2099-12-31
@@ -64,11 +66,6 @@ def feistel(left: Column, right: Column, a: Column, b: Column, tag: Column, key:
     return F.aggregate(rounds, F.struct(_num(left).alias("l"), _num(right).alias("r")), step)
 
 
-def _one(c: Column, f) -> Column:
-    """``f`` of a value that is worked out once, however often ``f`` uses it."""
-    return F.transform(F.array(c), f)[0]
-
-
 def _power(base: int, n: Column) -> Column:
     return F.get(F.array(*(F.lit(base**k) for k in range(10))), n)
 
@@ -90,8 +87,8 @@ def permute_text(s: Column, alphabet: str, tag: Column, key: str, back: bool = F
     """A text over ``alphabet``, of any length, permuted among the texts of its length (by stretches of at most 18)."""
 
     def stretch(k: Column) -> Column:
-        return _one(F.substring(s, k * 18 + 1, F.lit(18)), lambda part: _one(
-            F.struct(part.alias("p"), F.ceil(F.length(part) / 2).cast("int").alias("nl")), lambda q: _one(
+        return bound(F.substring(s, k * 18 + 1, F.lit(18)), lambda part: bound(
+            F.struct(part.alias("p"), F.ceil(F.length(part) / 2).cast("int").alias("nl")), lambda q: bound(
                 F.struct(q["nl"].alias("nl"), (F.length(q["p"]) - q["nl"]).alias("nr"), feistel(
                     _number(F.substring(q["p"], F.lit(1), q["nl"]), alphabet), _number(F.substring(q["p"], q["nl"] + 1, F.lit(18)), alphabet),
                     _power(len(alphabet), q["nl"]), _power(len(alphabet), F.length(q["p"]) - q["nl"]),
@@ -121,7 +118,7 @@ def refill(shape: Column, digits: Column, letters: Column | None = None) -> Colu
 
 def _both(s: Column, kind: str, key: str, back: bool, alphabet: str = LOWER) -> Column:
     """Letters and digits of ``s`` permuted, each among themselves."""
-    return _one(F.struct(s.alias("s"), permute_text(_only(s, "[^0-9]"), "0123456789", F.lit(kind), key, back).alias("d"), permute_text(F.lower(_only(s, "[^A-Za-z]")), alphabet, F.lit(kind), key, back).alias("c")), lambda x: refill(x["s"], x["d"], x["c"]))
+    return bound(F.struct(s.alias("s"), permute_text(_only(s, "[^0-9]"), "0123456789", F.lit(kind), key, back).alias("d"), permute_text(F.lower(_only(s, "[^A-Za-z]")), alphabet, F.lit(kind), key, back).alias("c")), lambda x: refill(x["s"], x["d"], x["c"]))
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -137,14 +134,14 @@ def luhn_sum(digits: Column) -> Column:
 
 def _card(m: Column, key: str, back: bool) -> Column:
     def new(digits: Column) -> Column:
-        return _one(permute_text(F.substring(digits, F.lit(1), F.length(digits) - 1), "0123456789", F.lit("card"), key, back), lambda p: F.concat(p, F.pmod(10 - luhn_sum(F.concat(p, F.lit("0"))) % 10, F.lit(10)).cast("string")))
+        return bound(permute_text(F.substring(digits, F.lit(1), F.length(digits) - 1), "0123456789", F.lit("card"), key, back), lambda p: F.concat(p, F.pmod(10 - luhn_sum(F.concat(p, F.lit("0"))) % 10, F.lit(10)).cast("string")))
 
-    return _one(_only(m, "[^0-9]"), lambda d: F.when(luhn_sum(d) % 10 == 0, _one(new(d), lambda n: refill(m, n))).otherwise(m))
+    return bound(_only(m, "[^0-9]"), lambda d: F.when(luhn_sum(d) % 10 == 0, bound(new(d), lambda n: refill(m, n))).otherwise(m))
 
 
 def _phone(m: Column, key: str, back: bool) -> Column:
     code = F.regexp_extract(m, r"^(\+[0-9]{1,3}(?=[ .(-])|\+[0-9]|[0-9]{1,3}(?=[ .-]?\())?", 0)
-    return _one(code, lambda c: F.concat(c, _one(F.substring(m, F.length(c) + 1, F.lit(64)), lambda r: _one(permute_text(_only(r, "[^0-9]"), "0123456789", F.lit("phone"), key, back), lambda d: refill(r, d)))))
+    return bound(code, lambda c: F.concat(c, bound(F.substring(m, F.length(c) + 1, F.lit(64)), lambda r: bound(permute_text(_only(r, "[^0-9]"), "0123456789", F.lit("phone"), key, back), lambda d: refill(r, d)))))
 
 
 def _ssn(m: Column, key: str, back: bool) -> Column:
@@ -156,7 +153,7 @@ def _ssn(m: Column, key: str, back: bool) -> Column:
         a = F.call_function("div", x["l"], F.lit(_GROUPS)) + 1
         return F.format_string("%03d-%02d-%04d", F.when(a >= 666, a + 1).otherwise(a), x["l"] % _GROUPS + 1, x["r"] + 1)
 
-    return F.when(fits, _one(feistel(area * _GROUPS + part(2) - 1, part(3) - 1, _num(F.lit(_AREAS * _GROUPS)), _num(F.lit(_SERIALS)), F.lit("ssn"), key, back), write)).otherwise(m)
+    return F.when(fits, bound(feistel(area * _GROUPS + part(2) - 1, part(3) - 1, _num(F.lit(_AREAS * _GROUPS)), _num(F.lit(_SERIALS)), F.lit("ssn"), key, back), write)).otherwise(m)
 
 
 def _ip(m: Column, key: str, back: bool) -> Column:
@@ -164,7 +161,7 @@ def _ip(m: Column, key: str, back: bool) -> Column:
     fits = (part(1) < 256) & (part(2) < 256) & (part(3) < 256) & (part(4) < 256) & ~m.rlike(r"(^|\.)0[0-9]")
     byte = lambda v, k: F.call_function("div", v, F.lit(256)) % 256 if k else v % 256
     size = _num(F.lit(65536))
-    return F.when(fits, _one(feistel(part(1) * 256 + part(2), part(3) * 256 + part(4), size, size, F.lit("ip"), key, back), lambda x: F.concat_ws(".", byte(x["l"], 1), byte(x["l"], 0), byte(x["r"], 1), byte(x["r"], 0)))).otherwise(m)
+    return F.when(fits, bound(feistel(part(1) * 256 + part(2), part(3) * 256 + part(4), size, size, F.lit("ip"), key, back), lambda x: F.concat_ws(".", byte(x["l"], 1), byte(x["l"], 0), byte(x["r"], 1), byte(x["r"], 0)))).otherwise(m)
 
 
 def iban_rest(text: Column) -> Column:
@@ -181,12 +178,12 @@ def iban_rest(text: Column) -> Column:
 def _iban(m: Column, key: str, back: bool) -> Column:
     def new(t: Column) -> Column:
         account = _both(F.substring(t, F.lit(5), F.lit(40)), "iban", key, back)
-        return _one(account, lambda a: F.concat(F.substring(t, F.lit(1), F.lit(2)), F.lpad((98 - iban_rest(F.concat(F.substring(t, F.lit(1), F.lit(2)), F.lit("00"), a))).cast("string"), 2, "0"), a))
+        return bound(account, lambda a: F.concat(F.substring(t, F.lit(1), F.lit(2)), F.lpad((98 - iban_rest(F.concat(F.substring(t, F.lit(1), F.lit(2)), F.lit("00"), a))).cast("string"), 2, "0"), a))
 
     def spaced(n: Column) -> Column:
         return F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), lambda i: F.when(F.substring(m, i, F.lit(1)) == " ", F.lit(" ")).otherwise(F.substring(n, F.length(_only(F.substring(m, F.lit(1), i - 1), " ")) + 1, F.lit(1)))), "")
 
-    return _one(_only(m, " "), lambda t: F.when((F.length(t) >= 15) & (F.length(t) <= 34) & (iban_rest(t) == 1) & F.substring(t, F.lit(3), F.lit(2)).between("02", "98"), _one(new(t), spaced)).otherwise(m))
+    return bound(_only(m, " "), lambda t: F.when((F.length(t) >= 15) & (F.length(t) <= 34) & (iban_rest(t) == 1) & F.substring(t, F.lit(3), F.lit(2)).between("02", "98"), bound(new(t), spaced)).otherwise(m))
 
 
 def _date(m: Column, key: str, back: bool) -> Column:
@@ -202,7 +199,7 @@ def _date(m: Column, key: str, back: bool) -> Column:
 
     def walked(f: Column) -> Column:
         def once(n: Column) -> Column:
-            return _one(feistel(F.call_function("div", n, F.lit(4297)), n % 4297, _num(F.lit(17)), _num(F.lit(4297)), F.when(f["nw"], F.lit("date-d")).otherwise(F.lit("date")), key, back), lambda x: x["l"] * 4297 + x["r"])
+            return bound(feistel(F.call_function("div", n, F.lit(4297)), n % 4297, _num(F.lit(17)), _num(F.lit(4297)), F.when(f["nw"], F.lit("date-d")).otherwise(F.lit("date")), key, back), lambda x: x["l"] * 4297 + x["r"])
 
         def go(acc: Column, i: Column) -> Column:
             more = (i == 1) | (f["nw"] & (F.dayofmonth(F.date_add(start, acc.cast("int"))) <= 12))
@@ -215,7 +212,7 @@ def _date(m: Column, key: str, back: bool) -> Column:
         y, mo, d = F.date_format(t, "yyyy"), F.date_format(t, "MM"), F.date_format(t, "dd")
         return F.when(f["yf"], F.concat_ws("-", y, mo, d)).when(f["df"], F.concat_ws("-", d, mo, y)).otherwise(F.concat_ws("-", mo, d, y))
 
-    return _one(facts, lambda f: F.when(f["n"].isNotNull() & (f["n"] >= 0) & (f["n"] < _DAYS), _one(walked(f), lambda n: F.replace(write(f, n), F.lit("-"), f["sep"]))).otherwise(m))
+    return bound(facts, lambda f: F.when(f["n"].isNotNull() & (f["n"] >= 0) & (f["n"] < _DAYS), bound(walked(f), lambda n: F.replace(write(f, n), F.lit("-"), f["sep"]))).otherwise(m))
 
 
 def _email(m: Column, key: str, back: bool) -> Column:
@@ -243,7 +240,7 @@ def replacement(m: Column, key: str, back: bool = False) -> Column:
             out = F.when(kind == name, f(m, key, back)) if out is None else out.when(kind == name, f(m, key, back))
         return out
 
-    return _one(kind_of(m), choose)
+    return bound(kind_of(m), choose)
 
 
 def spans(docs: DataFrame, key: str, *, text_col: str = "text", back: bool = False) -> DataFrame:

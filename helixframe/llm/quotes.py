@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helixframe.llm.common import stored
+from helixframe.llm.common import bound, stored
 
 #: Turns of a stretch in the as-of search.
 STRETCH = 256
@@ -43,20 +43,26 @@ def _lines(text: Column) -> Column:
     return F.transform(raw, parse)
 
 
+def _split(lines: Column) -> Column:
+    """(own, quotes) of a message's lines: its text without quotes, and runs of (level, lines)."""
+    n = F.size(lines)
+    level = lambda i: F.get(lines, i)["level"]
+    own = F.regexp_replace(F.array_join(F.transform(F.filter(lines, lambda x: x["level"] == 0), lambda x: x["content"]), "\n"), r"^\s+|\s+$", "")
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (level(i) != level(i - 1)))
+
+    def runs(s: Column) -> Column:
+        def run(start: Column, k: Column) -> Column:
+            inside = F.transform(F.slice(lines, start + 1, F.coalesce(F.get(s, k + 1), n) - start), lambda x: normalised(x["content"]))
+            return F.struct(level(start).alias("level"), F.filter(inside, lambda x: x != "").alias("lines"))
+
+        return F.filter(F.transform(s, run), lambda q: (q["level"] > 0) & (F.size(q["lines"]) > 0))
+
+    return F.struct(own.alias("own"), bound(starts, runs).alias("quotes"))
+
+
 def parsed(messages: DataFrame, text_col: str = "text") -> DataFrame:
-    """``messages`` with ``lines``, ``own`` (its text without quotes) and ``quotes``: runs of (level, lines)."""
-    out = messages.withColumn("lines", _lines(F.col(text_col)))
-    out = out.withColumn("own", F.regexp_replace(F.trim(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["content"]), "\n")), r"^\s+|\s+$", ""))
-    start = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (F.get(F.col("lines"), i)["level"] > 0) & ((i == 0) | (F.get(F.col("lines"), i - 1)["level"] != F.get(F.col("lines"), i)["level"])))
-    out = out.withColumn("starts", F.when(F.exists("lines", lambda x: x["level"] > 0), start).otherwise(F.array().cast("array<int>")))
-    change = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: (i == F.size("lines")) | (F.get(F.col("lines"), i - 1)["level"] != F.get(F.col("lines"), i)["level"]))
-    out = out.withColumn("changes", F.when(F.size("starts") > 0, change).otherwise(F.array().cast("array<int>")))
-
-    def run(s: Column) -> Column:
-        end = F.filter("changes", lambda c: c > s)[0]
-        return F.struct(F.get(F.col("lines"), s)["level"].alias("level"), F.filter(F.transform(F.slice("lines", s + 1, end - s), lambda x: normalised(x["content"])), lambda x: x != "").alias("lines"))
-
-    return out.withColumn("quotes", F.filter(F.transform("starts", run), lambda q: F.size(q["lines"]) > 0)).drop("starts", "changes")
+    """``messages`` with ``own`` and ``quotes``."""
+    return messages.withColumn("parts", bound(_lines(F.col(text_col)), _split)).withColumns({"own": F.col("parts.own"), "quotes": F.col("parts.quotes")}).drop("parts")
 
 
 def said(own: Column) -> Column:
