@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.plans import alignments, sequences, units
+from helixframe.plans import alignments, native, sequences, units
 
-MODULES = (units, alignments, sequences)
+MODULES = (units, alignments, sequences, native)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -95,4 +95,20 @@ def test_alignments():
 def test_every_query_has_an_oracle():
     from helixframe.plans import registry
 
-    assert set(registry.queries()) == set(registry.oracle_sql())
+    from helixframe.plans import native
+
+    assert set(registry.queries()) - set(native.QUERIES) == set(registry.oracle_sql())
+
+
+def test_regions_merge_unless_reads_forbid_it(spark):
+    from helixframe.operators import regions as R
+
+    reads = {0: set(range(40)), 1: set(range(20, 60)), 2: set(range(45, 70))}
+    assert [c["regions"] for c in R.merge_clusters(reads, {}, set(), least=10)] == [{0, 1, 2}]
+    barred = {1: set(range(0, 39))}
+    assert [c["regions"] for c in R.merge_clusters(reads, barred, set(), least=10)] == [{0}, {1, 2}]
+    assert [c["regions"] for c in R.merge_clusters(reads, barred, {0, 1, 2}, least=10)] == [{0, 1, 2}]
+    units = spark.createDataFrame([(r, k, 0, k) for r in range(30) for k in range(r, r + 40)], "read_id long, pos long, contig long, unit long")
+    regions = spark.createDataFrame([(0, 0, 30, 34, False)], "region int, contig long, start long, end long, confluent boolean")
+    assert {r["read_id"] for r in R.spanning_reads(units, regions).collect()} == {r for r in range(30) if r < 26 and r + 40 > 38}
+    assert R.initial_clusters(units, regions).count() == 30
