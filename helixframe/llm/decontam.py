@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import small_or_shuffled, stored
+from helixframe.llm.common import bound, small_or_shuffled, stored
 
 #: Greatest chance that the MinHash search misses an item that is contained as asked.
 MISS = 1e-6
@@ -36,14 +36,14 @@ def _places(w: Column, n: int) -> Column:
     return F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
 
 
-def shingle_texts(w: Column, n: int) -> Column:
-    """Distinct n-word shingles of an array of words, as texts."""
-    return F.array_distinct(F.transform(_places(w, n), lambda i: F.concat_ws(" ", *(F.get(w, i + k) for k in range(n)))))
+def shingle_texts(text: Column, n: int) -> Column:
+    """Distinct n-word shingles of a text, as texts."""
+    return bound(words(text), lambda w: F.array_distinct(F.transform(_places(w, n), lambda i: F.concat_ws(" ", *(F.get(w, i + k) for k in range(n))))))
 
 
-def shingle_hashes(w: Column, n: int) -> Column:
+def shingle_hashes(text: Column, n: int) -> Column:
     """Their hashes, ascending."""
-    return F.sort_array(F.array_distinct(F.transform(_places(w, n), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n))))))
+    return bound(words(text), lambda w: F.sort_array(F.array_distinct(F.transform(_places(w, n), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n)))))))
 
 
 def extra_bits(fewest: int) -> int | None:
@@ -56,38 +56,34 @@ def extra_bits(fewest: int) -> int | None:
     return None
 
 
-def range_shift(hashes: Column, extra: int) -> Column:
-    """How far a hash is shifted right to give its range; the number of ranges goes by the size of the set."""
-    return F.lit(64 - extra) - F.ceil(F.log2(F.greatest(F.size(hashes), F.lit(2)))).cast("int")
+def least_hashes(hashes: Column, extra: int) -> Column:
+    """The least hash of each range of ascending hashes; the number of ranges goes by the size of the set."""
+    shift = lambda h: F.lit(64 - extra) - F.ceil(F.log2(F.greatest(F.size(h), F.lit(2)))).cast("int")
+    place = lambda x, by: F.call_function("shiftrightunsigned", x.bitwiseXOR(F.lit(-(2**63))), by)
 
+    def firsts(s: Column) -> Column:
+        return F.filter(s["h"], lambda x, i: (i == 0) | (place(x, s["by"]) != place(F.get(s["h"], i - 1), s["by"])))
 
-def least_hashes(hashes: Column, shift: Column) -> Column:
-    """The least hash of each range."""
-
-    def place(x: Column) -> Column:
-        return F.call_function("shiftrightunsigned", x.bitwiseXOR(F.lit(-(2**63))), shift)
-
-    return F.filter(hashes, lambda x, i: (i == 0) | (place(x) != place(F.get(hashes, i - 1))))
+    return bound(hashes, lambda h: bound(F.struct(h.alias("h"), shift(h).alias("by")), firsts))
 
 
 def leaks(docs: DataFrame, items: DataFrame, *, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, t1, t2 (hashes of its text), item_id, n_hits, n_item: where hits / item shingles >= num / den."""
     spark = docs.sparkSession
-    asked = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("item_text")).distinct().withColumn("w", words(F.col("item_text")))
-    asked = asked.select("item_id", F.xxhash64("item_id", "item_text").alias("item_key"), shingle_texts(F.col("w"), n).alias("item_shingles"), shingle_hashes(F.col("w"), n).alias("item_hashes")).filter(F.size("item_hashes") > 0)
+    asked = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("item_text")).distinct()
+    asked = asked.select("item_id", F.xxhash64("item_id", "item_text").alias("item_key"), shingle_texts(F.col("item_text"), n).alias("item_shingles"), shingle_hashes(F.col("item_text"), n).alias("item_hashes")).filter(F.size("item_hashes") > 0)
     asked = stored(spark, asked.withColumn("n_item", F.size("item_shingles").cast("long")), "items")
     shortest, probes = asked.agg(F.min("n_item"), F.coalesce(F.sum("n_item"), F.lit(0))).first()
     extra = extra_bits(-(-num * shortest // den)) if shortest else None
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(29), F.col("text"))})
-    kept = own.select("t1", "t2", words(F.col("text")).alias("w")).select("t1", "t2", shingle_hashes(F.col("w"), n).alias("h"))
-    if extra is not None:
-        kept = kept.withColumn("shift", range_shift(F.col("h"), extra)).select("t1", "t2", least_hashes(F.col("h"), F.col("shift")).alias("h"))
-    kept = kept.select("t1", "t2", F.explode("h").alias("h"))
+    hashes = shingle_hashes(F.col("text"), n)
+    # outer: a plain explode would make Spark work out the hashes a second time, to filter on their number
+    kept = own.select("t1", "t2", F.explode_outer(hashes if extra is None else least_hashes(hashes, extra)).alias("h")).filter("h is not null")
     probe = asked.select("item_key", F.explode("item_hashes").alias("h"))
     met = stored(spark, kept.join(small_or_shuffled(probe, probes), "h").select("t1", "t2", "item_key").distinct(), "met")
     many = met.count()
     found = own.join(small_or_shuffled(met, many), ["t1", "t2"]).join(small_or_shuffled(asked.drop("item_hashes"), probes), "item_key")
-    found = found.withColumn("w", words(F.col("text"))).withColumn("n_hits", F.size(F.array_intersect(shingle_texts(F.col("w"), n), "item_shingles")).cast("long"))
+    found = found.withColumn("n_hits", F.size(F.array_intersect(shingle_texts(F.col("text"), n), "item_shingles")).cast("long"))
     return found.filter(F.col("n_hits") * den >= F.col("n_item") * num).select("doc_id", "t1", "t2", "item_id", "n_hits", "n_item")
 
 
