@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators import coverage
+
 #: Units on either side of a region that a spanning read must touch: from twice the offset to once the offset away.
 OFFSET = 4
 #: Two clusters join if they share more reads than MIN_SHARED and fewer reads than MAX_FORBIDS forbid it.
@@ -16,6 +18,20 @@ MIN_SHARED, MAX_FORBIDS = 15, 10
 MOST_REGIONS = 10_000
 
 
+def confluent_regions(units: DataFrame, least: int = 15, sigmas: float = 4.0, edge: int = 5) -> DataFrame:
+    """(contig, start, end, down, total): peaks of read ends by the direction that leads away from them.
+
+    Peaks of downstream ends at a contig's first units and of upstream ends at its last units are left out: reads end there anyway.
+    """
+    ends = coverage.end_directions(units)
+    grid = coverage.unit_spine(units).join(ends, ["contig", "unit"], "left").fillna(0, ["down", "up"])
+    last = units.groupBy("contig").agg(F.max("unit").alias("last_unit"))
+    both = coverage.peaks(grid, "down", least, sigmas).withColumn("down", F.lit(True)).unionByName(coverage.peaks(grid, "up", least, sigmas).withColumn("down", F.lit(False)))
+    found = both.join(F.broadcast(last), "contig")
+    artefact = (F.col("down") & (F.col("end") < edge)) | (~F.col("down") & (F.col("start") + edge > F.col("last_unit")))
+    return found.filter(~artefact).select("contig", "start", "end", "down", "total")
+
+
 def region_reads(units: DataFrame, regions: DataFrame) -> DataFrame:
     """(region, read_id): reads with a unit inside a region (region, contig, start, end), end exclusive."""
     inside = units.join(F.broadcast(regions), "contig").filter((F.col("unit") >= F.col("start")) & (F.col("unit") < F.col("end")))

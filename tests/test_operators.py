@@ -112,3 +112,13 @@ def test_regions_merge_unless_reads_forbid_it(spark):
     regions = spark.createDataFrame([(0, 0, 30, 34, False)], "region int, contig long, start long, end long, confluent boolean")
     assert {r["read_id"] for r in R.spanning_reads(units, regions).collect()} == {r for r in range(30) if r < 26 and r + 40 > 38}
     assert R.initial_clusters(units, regions).count() == 30
+
+
+def test_confluent_regions(spark):
+    from helixframe.operators import regions as R
+
+    rows = [(r, k, 0, 30 + r % 2 + k) for r in range(120) for k in range(12)] + [(300 + r, k, 0, k) for r in range(40) for k in range(60)]
+    rows += [(400 + r, k, 0, (r * 7) % 90 + k) for r in range(80) for k in range(11)]
+    df = spark.createDataFrame(rows, "read_id long, pos long, contig long, unit long")
+    got = [(r["start"], r["end"], r["down"]) for r in R.confluent_regions(df, least=15, sigmas=1.0).collect()]
+    assert (30, 32, True) in got and all(not (down and end < 5) for _, end, down in got)
