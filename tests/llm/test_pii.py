@@ -39,7 +39,8 @@ def test_values_change_within_their_format_and_come_back(spark):
     assert [n for _, n in out] == [2] * len(VALUES)
     for v, (t, _) in zip(VALUES, out):
         a, b = re.fullmatch(r"x (.*), y\n(.*) z", t).groups()
-        assert a == b != v and re.sub("[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", a.split("@")[0]))) == re.sub("[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", v.split("@")[0])))
+        shape = lambda x: re.sub("[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", x.split("@")[0])))
+        assert a == b != v and (shape(a) == shape(v) or v.count(".") == 3)  # an address' numbers may have other lengths
     new = [re.match("x (.*), y", t)[1] for t, _ in out]
     assert all(map(luhn, new[2:5])) and new[2] == new[3].replace(" ", "") and iban_ok(new[10]) and iban_ok(new[11])
     assert all(int(p) < 256 for p in new[8].split("."))
