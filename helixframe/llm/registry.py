@@ -70,7 +70,7 @@ def vocabulary(path: str | None = None) -> str:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary(), special=True)
 
 
 def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
