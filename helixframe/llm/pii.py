@@ -9,7 +9,7 @@ What is found, and what must hold for it to be replaced:
     iban    right modulo 97; letters and digits of the account are permuted, check digits are computed anew
     ip      four numbers to 255
     date    real days of the years 1900 to 2099 as Y-M-D, Y/M/D, M/D/Y, D/M/Y (day over 12) or D.M.Y
-    secret  access key ids of the form AKIA + 16, and 40 hex digits: letters and digits are permuted
+    secret  access key ids of the form AKIA + 16, and 40 hex digits of either case: letters and digits are permuted
 
 A network has ROUNDS rounds on a pair (l, r) in Z_a x Z_b: l += F(r) mod a and r += F(l) mod b in turn, with F from
 SHA-256 of the key, the kind and its size, and the round. That is a permutation of Z_ab, so equal values stay equal in all
@@ -33,7 +33,7 @@ _DAYS = 17 * 4297  # 1900-01-01 to 2099-12-31
 _AREAS, _GROUPS, _SERIALS = 898, 99, 9999  # areas 1 to 899 but 666
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
-SECRET = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|[0-9a-f]{40})(?![A-Za-z0-9])"
+SECRET = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|[0-9A-Fa-f]{40})(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[./-][0-9])"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
@@ -221,7 +221,7 @@ def _email(m: Column, key: str, back: bool) -> Column:
 
 def _secret(m: Column, key: str, back: bool) -> Column:
     hexed = _both(m, "hex", key, back, "abcdef")
-    return F.when(m.startswith("AKIA") & (F.length(m) == 20), F.concat(F.lit("AKIA"), _both(F.substring(m, F.lit(5), F.lit(16)), "akia", key, back))).when(m.rlike("[a-f]") & m.rlike("[0-9]"), hexed).otherwise(m)
+    return F.when(m.startswith("AKIA") & (F.length(m) == 20), F.concat(F.lit("AKIA"), _both(F.substring(m, F.lit(5), F.lit(16)), "akia", key, back))).when(m.rlike("[A-Fa-f]") & m.rlike("[0-9]"), hexed).otherwise(m)
 
 
 def kind_of(m: Column) -> Column:

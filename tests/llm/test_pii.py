@@ -76,3 +76,13 @@ def test_permutations_on_whole_domains(spark, seed):
         y, m, d = rng.randrange(1900, 2100), rng.randrange(1, 13), rng.randrange(1, 29)
         texts += [f"{d:02}/{m:02}/{y}", f"{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(1, 256)}.{rng.randrange(10)}", f"{rng.choice([1, 665, 667, 899]):03}-{rng.randrange(1, 100):02}-{rng.randrange(1, 10000):04}"]
     assert back(spark, [t for t, _ in run(spark, texts)]) == texts
+
+
+def test_secrets_of_either_case(spark):
+    low = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    texts = [f'TOKEN = "{x}"' for x in (low, low.upper(), low[:20] + low[20:].upper())] + ["A" * 40, "1" * 40, "F" * 39 + "1f"]
+    out = run(spark, texts)
+    assert [n for _, n in out] == [1, 1, 1, 0, 0, 0]
+    new = [t.split('"')[1] for t, _ in out[:3]]
+    assert new[0] == new[0].lower() != low and new[1] == new[0].upper() and new[2] == new[0][:20] + new[0][20:].upper()
+    assert back(spark, [t for t, _ in out]) == texts
