@@ -10,11 +10,15 @@ Signatures of few elements say little and would join sets that share a common li
 more than needed: a set that has at most so many parts with a weak signature leaves its weak signatures out (some strong
 one is still shared); other sets keep all of theirs.
 
-Sets that share signatures make families (connected components over links from each signature's members to its least
-one; no pairs). Links are found within families, exactly: a family is cut into blocks of bounded bytes, and each pair of
-blocks is one group of rows for a task, which emits only a spanning forest of its links. There, a parity sketch gives a
-lower bound of the number of differing elements, which drops most pairs; the rest are intersected, unless they are
-connected already. Equal sets are joined beforehand, by hash.
+Sets are nodes, named by a hash of their elements; equal sets are one node from the first pass on. The members of each
+signature are a group; groups of equal members are one. Within a group, members whose parity sketches allow a link are
+joined (the sketch gives a lower bound of the number of differing elements, so no link is lost), and only a spanning
+forest of these joins leaves the task. Groups cut into blocks of bounded rows; each pair of blocks is one unit of work.
+
+What is so connected is a family: a group of near-copies, mostly. Links are found within families, exactly, by the same
+search over the sets themselves; again a spanning forest of the links is all that is emitted.
+
+Texts are read three times and stay where they are, but for those of families, whose sets are sent to their blocks.
 
 Defined results: null or empty texts have no set and stay alone; fewer than n words make one n-gram, the whole sequence;
 rows that repeat an id are one document if their sets are equal, else their groups are joined through the id; a null id
@@ -23,7 +27,7 @@ takes no part and has a null component.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -32,13 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import small_or_shuffled, stored
+from helixframe.llm.common import discard, small_or_shuffled, stored, with_keys
 from helixframe.llm.components import connected_components
 from helixframe.llm.textblocks import WordHasher, grams, mix, slices, text_bytes
 
-#: Bounds of a family's block: sets and bytes of their elements.
-BLOCK_SETS, BLOCK_BYTES = 4096, 32 << 20
-_TILE = 512
+#: Bounds of a family's block: sets and bytes of their elements; and of a signature group's.
+BLOCK_SETS, BLOCK_BYTES, BLOCK_MEMBERS = 4096, 32 << 20, 4096
+#: Rows that a task works on at once; a signature with more members than GIANT is passed on without gathering them.
+_ROWS, GIANT = 200_000, 65_536
+#: Words of a sketch.
+_LEAST, _MOST = 4, 128
 
 
 @dataclass(frozen=True)
@@ -136,142 +143,382 @@ def signatures(row: np.ndarray, element: np.ndarray, n_rows: int, s: Scheme) ->
     return np.concatenate(out_row), np.concatenate(out_sig)
 
 
-def _facts(n: int):
+def sketches(row: np.ndarray, element: np.ndarray, size: np.ndarray, s: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """(words of 64 bits of all sets, where each set begins): for classes of elements, is their number in the set odd.
+
+    A set has about four times as many classes as a set of its size tolerates differing elements.
+    """
+    need = np.maximum(4 * s.tolerance(size, size), 1)
+    width = np.clip(1 << np.ceil(np.log2(need / 64)).astype(np.int64).clip(0), _LEAST, _MOST)
+    begin = np.concatenate(([0], np.cumsum(width)))
+    kind = (mix(element + np.uint64(77)) & (width[row] * 64 - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(begin[row] * 64 + kind, minlength=int(begin[-1]) * 64) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64), begin
+
+
+class Sketches:
+    """Parity sketches of several sets, and a lower bound of how many elements differ."""
+
+    def __init__(self, words: np.ndarray, begin: np.ndarray):
+        self.words, self.begin, self.width = words, begin[:-1], np.diff(begin)
+
+    def folded(self, at: np.ndarray, width: int) -> np.ndarray:
+        """The sketches of some sets at a width that none of them is below: classes that fall together are added."""
+        out = np.empty((len(at), width), np.uint64)
+        for w in np.unique(self.width[at]):
+            these = np.flatnonzero(self.width[at] == w)
+            rows = self.words[self.begin[at[these], None] + np.arange(w)]
+            out[these] = np.bitwise_xor.reduce(rows.reshape(len(these), w // width, width), 1)
+        return out
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """For pairs of sets: at least so many elements are in one of the two only."""
+        out, least = np.zeros(len(x), np.int64), np.minimum(self.width[x], self.width[y])
+        for w in np.unique(least):
+            these = np.flatnonzero(least == w)
+            step = max(1, (1 << 20) // int(w))
+            for part in (these[i : i + step] for i in range(0, len(these), step)):
+                out[part] = np.bitwise_count(self.folded(x[part], int(w)) ^ self.folded(y[part], int(w))).sum(1)
+        return out
+
+
+def may_link(a, b, apart, s: Scheme):
+    """Can sets of sizes a and b that differ in at least ``apart`` elements link?"""
+    return (apart <= s.tolerance(a, b)) & (s.num * np.maximum(a, b) <= s.den * np.minimum(a, b))
+
+
+def spread(n: int, near: Callable[[int, np.ndarray], np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of a graph whose neighbours ``near(node, among)`` tells. side: only pairs of different sides count."""
+    out: list[tuple[int, int]] = []
+    left = np.arange(n)
+    while len(left):
+        todo, left = [int(left[0])], left[1:]
+        while todo and len(left):
+            u = todo.pop()
+            among = np.ones(len(left), bool) if side is None else side[left] != side[u]
+            at = np.flatnonzero(among)
+            hit = at[near(u, left[at])] if len(at) else at
+            found = left[hit]
+            out += [(u, int(v)) for v in found]
+            todo += found.tolist()
+            left = np.delete(left, hit)
+    return out
+
+
+def links(sets: list[np.ndarray], s: Scheme, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sorted sets; with sides, of those between sets of different sides."""
+    size = np.array([len(x) for x in sets], np.int64)
+    begin = np.concatenate(([0], np.cumsum(size)))
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    words, cut = sketches(np.repeat(np.arange(len(sets)), size), flat, size, s)
+    narrow = Sketches(words, cut)
+    least = int(narrow.width.min(initial=_MOST))
+    rows = narrow.folded(np.arange(len(sets)), least)
+
+    def near(u: int, among: np.ndarray) -> np.ndarray:
+        may = may_link(size[u], size[among], np.bitwise_count(rows[among] ^ rows[u]).sum(1, dtype=np.int64), s)
+        at = np.flatnonzero(may)
+        own = sets[u]
+        for part in (at[i : i + 256] for i in range(0, len(at), 256)):
+            v = among[part]
+            who = np.repeat(np.arange(len(v)), size[v])
+            there = flat[np.arange(len(who)) + np.repeat(begin[v] - (np.cumsum(size[v]) - size[v]), size[v])]
+            place = np.minimum(np.searchsorted(own, there), len(own) - 1)
+            both = np.bincount(who, own[place] == there, len(v)).astype(np.int64)
+            may[part] = s.den * both >= s.num * (size[u] + size[v] - both)
+        return may
+
+    return spread(len(sets), near, side)
+
+
+def _facts(n: int, s: Scheme, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = WordHasher(3, lower=True)
         for batch in batches:
             for b in slices(batch, "text"):
                 row, g = text_sets(b.column("text"), h, n)
-                s1, s2 = sums(row, mix(g), len(b)), sums(row, mix(g ^ np.uint64(0x5DEECE66D)), len(b))
-                yield pa.record_batch([b.column("doc_id"), pa.array(np.bincount(row, minlength=len(b)).astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))], names=["doc_id", "n_shingles", "s1", "s2"])
+                size = np.bincount(row, minlength=len(b)).astype(np.int64)
+                s1, s2 = set_names(row, g, len(b), seed)
+                words, begin = sketches(row, g, size, s)
+                yield pa.record_batch([b.column("doc_id"), pa.array(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), _binary(words, begin * 8)], names=["doc_id", "n_shingles", "s1", "s2", "sketch"])
 
     return run
 
 
-def _signature_rows(n: int, s: Scheme):
+def set_names(row: np.ndarray, element: np.ndarray, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set. The first names it as a node."""
+    return mix(sums(row, mix(element + np.uint64(seed)), n)), sums(row, mix(element ^ np.uint64(0x5DEECE66D)), n)
+
+
+def _binary(data: np.ndarray, begin: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(begin) - 1, [None, pa.py_buffer(begin.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _bytes(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all values of a binary column, and where each value begins."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    size = np.dtype(kind).itemsize
+    flat = np.frombuffer(data.slice(int(off[0]), int(off[-1] - off[0])), kind) if data is not None else np.zeros(0, kind)
+    return flat, (off - off[0]) // size
+
+
+def _signature_rows(n: int, s: Scheme, seed: int):
+    """(sig, node) of each different set of a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = WordHasher(3, lower=True)
+        h, signed = WordHasher(3, lower=True), set()
         for batch in batches:
             for b in slices(batch, "text", 1 << 20):
                 row, g = text_sets(b.column("text"), h, n)
-                at, sig = signatures(row, g, len(b), s)
-                node = b.column("node").to_numpy()[at]
-                for i in range(0, len(at), 200_000):
-                    yield pa.record_batch([pa.array(sig[i : i + 200_000].view(np.int64)), pa.array(node[i : i + 200_000])], names=["sig", "node"])
+                node = set_names(row, g, len(b), seed)[0]
+                new = np.zeros(len(b), bool)
+                for i, x in enumerate(node.tolist()):
+                    if x not in signed:
+                        signed.add(x)
+                        new[i] = True
+                at, sig = signatures(row[new[row]], g[new[row]], len(b), s)
+                for i in range(0, len(at), _ROWS):
+                    yield pa.record_batch([pa.array(sig[i : i + _ROWS].view(np.int64)), pa.array(node[at[i : i + _ROWS]].view(np.int64))], names=["sig", "node"])
+
+    return run
+
+
+def _group_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(grp, node, n): the members of each signature that has several, once for each set of members; n is their number.
+
+    Rows come sorted by (sig, node). The members of a giant signature pass by under its own name, with a null n.
+    """
+    seen: set[int] = set()
+
+    def out(grp: np.ndarray, node: np.ndarray, n: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(grp), _ROWS):
+            part = slice(i, i + _ROWS)
+            yield pa.record_batch([pa.array(grp[part].view(np.int64)), pa.array(node[part]), pa.nulls(len(grp[part]), pa.int64()) if n is None else pa.array(n[part])], names=["grp", "node", "n"])
+
+    def whole(sig: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+        sig, node = sig[new], node[new]
+        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        n = np.diff(np.append(first, len(sig)))
+        name = mix(np.add.reduceat(mix(node.view(np.uint64)), first) + n.astype(np.uint64))
+        use = np.flatnonzero(n > 1)
+        use = use[np.unique(name[use], return_index=True)[1]]
+        if len(seen) > 2_000_000:
+            seen.clear()
+        fresh = []
+        for k, x in zip(use.tolist(), name[use].tolist(), strict=True):
+            if x not in seen:
+                seen.add(x)
+                fresh.append(k)
+        use = np.array(fresh, np.int64)
+        at = np.arange(n[use].sum()) + np.repeat(first[use] - (np.cumsum(n[use]) - n[use]), n[use])
+        yield from out(np.repeat(name[use], n[use]), node[at], np.repeat(n[use], n[use]))
+
+    sig, node, giant = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+    kept: list[pa.RecordBatch] = []
+
+    def gathered() -> tuple[np.ndarray, np.ndarray]:
+        more = [(b.column("sig").to_numpy(), b.column("node").to_numpy()) for b in kept]
+        kept.clear()
+        return np.concatenate([sig, *(x for x, _ in more)]), np.concatenate([node, *(x for _, x in more)])
+
+    for b in batches:
+        kept.append(b)
+        if sum(map(len, kept)) < _ROWS:
+            continue
+        sig, node = gathered()
+        if giant is not None:
+            end = int(np.argmax(sig != giant)) if (sig != giant).any() else len(sig)
+            yield from out(sig[:end], node[:end], None)
+            sig, node = sig[end:], node[end:]
+            if not len(sig):
+                continue
+            giant = None
+        last = len(sig) - int(np.argmax(sig[::-1] != sig[-1])) if sig[0] != sig[-1] else 0
+        if last:
+            yield from whole(sig[:last], node[:last])
+        sig, node = sig[last:], node[last:]
+        if len(sig) > GIANT:
+            giant = sig[0]
+            yield from out(sig, node, None)
+            sig, node = sig[:0], node[:0]
+    sig, node = gathered()
+    if giant is not None:
+        end = int(np.argmax(sig != giant)) if (sig != giant).any() else len(sig)
+        yield from out(sig[:end], node[:end], None)
+        sig, node = sig[end:], node[end:]
+    if len(sig):
+        yield from whole(sig, node)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int) -> Iterator[pa.Table]:
+    """Rows that come sorted by ``keys``, so many at once at least, with no group of equal keys cut."""
+    kept: list[pa.RecordBatch] = []
+    for b in batches:
+        kept.append(b)
+        if sum(map(len, kept)) < rows:
+            continue
+        t = pa.Table.from_batches(kept).combine_chunks()
+        other = np.zeros(len(t), bool)
+        for k in keys:
+            c = t.column(k).to_numpy()
+            other |= c != c[-1]
+        cut = len(t) - int(np.argmax(other[::-1])) if other.any() else 0
+        if cut:
+            yield t.slice(0, cut)
+        kept = t.slice(cut).to_batches()
+    if kept and (t := pa.Table.from_batches(kept).combine_chunks()).num_rows:
+        yield t
+
+
+def near_pairs(key: np.ndarray, side: np.ndarray, size: np.ndarray, sk: Sketches, s: Scheme, small: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that connect what may link within each run of equal keys; where a run has two sides, across them."""
+    n = len(key)
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    count = np.diff(np.append(first, n))
+    two = np.maximum.reduceat(side, first) != np.minimum.reduceat(side, first)
+    big = (count > small) | two
+    xs, ys = [], []
+    for f, c, t in zip(first[big].tolist(), count[big].tolist(), two[big].tolist(), strict=True):
+        own = np.arange(f, f + c)
+        rows, a = sk.folded(own, int(sk.width[own].min())), size[own]
+        near = lambda u, among: may_link(a[u], a[among], np.bitwise_count(rows[among] ^ rows[u]).sum(1, dtype=np.int64), s)  # noqa: B023, E731
+        found = np.array(spread(c, near, side[own] if t else None), np.int64).reshape(-1, 2)
+        xs.append(found[:, 0] + f)
+        ys.append(found[:, 1] + f)
+    # all pairs of the small ones, by distance; of these a forest
+    end = np.repeat(np.where(big, 0, first + count), count)
+    px, py = [], []
+    for d in range(1, int(count[~big].max(initial=1))):
+        x = np.flatnonzero(np.arange(n) + d < end)
+        x = x[s.num * np.maximum(size[x], size[x + d]) <= s.den * np.minimum(size[x], size[x + d])]
+        x = x[sk.apart(x, x + d) <= s.tolerance(size[x], size[x + d])]
+        px.append(x)
+        py.append(x + d)
+    if px:
+        x, y, label = np.concatenate(px), np.concatenate(py), np.arange(n)
+        while len(x):
+            least = np.minimum(label[x], label[y])
+            if (label[x] == least).all() and (label[y] == least).all():
+                break
+            np.minimum.at(label, x, least)
+            np.minimum.at(label, y, least)
+        moved = np.flatnonzero(label != np.arange(n))
+        xs.append(moved)
+        ys.append(label[moved])
+    return np.concatenate([*xs, np.zeros(0, np.int64)]), np.concatenate([*ys, np.zeros(0, np.int64)])
+
+
+def _near_rows(s: Scheme):
+    """Rows come sorted by (grp, i, j, block, node)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ("grp", "i", "j"), 20_000):
+            b = t.to_batches()[0]
+            grp, i, j, block, node, size = (b.column(c).to_numpy().astype(np.int64) for c in ("grp", "i", "j", "block", "node", "n_shingles"))
+            new = np.ones(len(b), bool)  # a group of equal members can come from several tasks
+            new[1:] = (grp[1:] != grp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (node[1:] != node[:-1])
+            key = np.cumsum(np.concatenate(([0], (grp[1:] != grp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))[new]
+            words, begin = _bytes(b.column("sketch"), np.uint64)
+            sk = Sketches(words, begin)
+            sk.begin, sk.width, node, size = sk.begin[new], sk.width[new], node[new], size[new]
+            x, y = near_pairs(key, block[new], size, sk, s)
+            if len(x):
+                pairs = np.unique(np.stack((node[x], node[y]), 1), axis=0)
+                yield pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
     return run
 
 
-def _set_rows(n: int):
+def _set_rows(n: int, seed: int):
+    """The sets of the texts that are members of families. An id can have several texts: only that of its node counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = WordHasher(3, lower=True)
         for batch in batches:
             for b in slices(batch, "text"):
                 row, g = text_sets(b.column("text"), h, n)
                 cut = np.searchsorted(row, np.arange(len(b) + 1))
-                yield pa.record_batch([b.column("node"), b.column("family"), pa.array([g[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["node", "family", "elements"])
+                own = pa.array(set_names(row, g, len(b), seed)[0].view(np.int64) == b.column("node").to_numpy())
+                names = ["family", "g", "node", "rep"]
+                yield pa.record_batch([*(b.column(c) for c in names), _binary(g, cut * 8)], names=[*names, "elements"]).filter(own)
 
     return run
 
 
-class Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
-def parity(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    """+1 or -1 for each of ``bits`` classes of elements: is their number in the set even or odd."""
-    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    n = np.bincount(row * bits + (mix(flat + np.uint64(77)) % np.uint64(bits)).astype(np.int64), minlength=len(sets) * bits)
-    return (1 - 2 * (n & 1)).astype(np.float32).reshape(len(sets), bits)
-
-
-def links(left: list[np.ndarray], right: list[np.ndarray] | None, s: Scheme) -> list[tuple[int, int]]:
-    """A spanning forest of the links within ``left``, or with ``right`` given, between the two (right ones numbered on)."""
-    sets = left + (right or [])
-    size = np.array([len(x) for x in sets])
-    n, first = len(sets), 0 if right is None else len(left)
-    bits = 1 << int(np.clip(np.ceil(np.log2(8 * max(int(s.tolerance(int(size.max(initial=1)), int(size.max(initial=1)))), 1))), 8, 13))
-    forest, out = Forest(n), []
-    for i in range(0, len(left), _TILE):
-        p = parity(sets[i : min(i + _TILE, len(left))], bits)
-        for j in range(i if right is None else first, n, _TILE):
-            q = parity(sets[j : j + _TILE], bits)
-            apart = (bits - p @ q.T) / 2
-            a, b = size[i : i + len(p), None], size[None, j : j + len(q)]
-            may = (apart <= s.tolerance(a, b)) & (s.num * np.maximum(a, b) <= s.den * np.minimum(a, b))
-            for x, y in zip(*np.nonzero(may), strict=True):
-                x, y = int(x) + i, int(y) + j
-                if x >= y or forest.root(x) == forest.root(y):
-                    continue
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if s.den * both >= s.num * (size[x] + size[y] - both):
-                    forest.join(x, y)
-                    out.append((x, y))
-    return out
-
-
 def _link_rows(s: Scheme):
     """Rows come sorted by (family, i, j); a group is held in memory, two blocks at most."""
 
-    def solve(group: list[tuple]) -> list[tuple[int, int]]:
-        i, j = group[0][1], group[0][2]
-        sides = ([r for r in group if r[3] == i], [] if i == j else [r for r in group if r[3] == j])
-        nodes = [r[4] for side in sides for r in side]
-        sets = [[np.frombuffer(r[5], np.uint64) for r in side] for side in sides]
-        return [(nodes[x], nodes[y]) for x, y in links(sets[0], None if i == j else sets[1], s)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        for b in batches:
-            out = []
-            for r in zip(*(b.column(c).to_pylist() for c in ("family", "i", "j", "block", "node", "elements")), strict=True):
-                if group and r[:3] != group[0][:3]:
-                    out += solve(group)
-                    group = []
-                group.append(r)
+        for t in whole_groups(batches, ("family", "i", "j"), 2_000):
+            b, out = t.to_batches()[0], []
+            family, i, j, block, rep = (b.column(c).to_numpy().astype(np.int64) for c in ("family", "i", "j", "block", "rep"))
+            flat, begin = _bytes(b.column("elements"), np.uint64)
+            edge = np.flatnonzero(np.concatenate(([True], (family[1:] != family[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+            for x, y in zip(edge, np.append(edge[1:], len(b)), strict=True):
+                sets = [flat[begin[k] : begin[k + 1]] for k in range(x, y)]
+                found = links(sets, s, None if i[x] == j[x] else block[x:y])
+                out += [(rep[x + u], rep[x + v]) for u, v in found]
             if out:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
-        if group and (out := solve(group)):
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
     return run
 
 
+def _dealt(rows: DataFrame, g: str) -> DataFrame:
+    """Each row once for every pair of blocks (i, j) that its own block is part of; ``g`` blocks make up its key."""
+    own = F.pmod(F.xxhash64("node"), F.col(g)).cast("int")
+    rows = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col(g) - 1).cast("int"))))
+    return rows.drop(g).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+
+
+def _named(own: DataFrame, n: int, s: Scheme) -> tuple[DataFrame, int]:
+    """The sets of all rows, named so that no two different ones have one name, and the seed of the names."""
+    seed = 0
+    while True:
+        facts = stored(own.sparkSession, own.mapInArrow(_facts(n, s, seed), "doc_id long, n_shingles long, s1 long, s2 long, sketch binary"), "sets")
+        if facts.filter("n_shingles > 0").groupBy("s1").agg(F.min("s2").alias("x"), F.max("s2").alias("y")).filter("x <> y").isEmpty():
+            return facts, seed
+        discard(facts)
+        seed += 1
+
+
 def groups(docs: DataFrame, *, num: int = 8, den: int = 10, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``; sets link when intersection / union >= num / den."""
     spark, s = docs.sparkSession, scheme(num, den)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    facts = stored(spark, own.mapInArrow(_facts(n), "doc_id long, n_shingles long, s1 long, s2 long"), "sets")
+    facts, seed = _named(own, n, s)
     real = facts.filter("n_shingles > 0 and doc_id is not null")
-    same = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
-    alike = stored(spark, real.select("doc_id", "s1", "s2").distinct().join(same, ["s1", "s2"]).select("doc_id", "node").distinct(), "alike")
-    # documents that are not the first of their set need not be looked at again
-    copies = alike.filter("doc_id <> node").select("doc_id").join(alike.filter("doc_id = node").select("doc_id"), "doc_id", "left_anti").distinct()
-    first = own.filter("doc_id is not null and text is not null").join(small_or_shuffled(copies, copies.count()), "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "text")
-    signed = first.mapInArrow(_signature_rows(n, s), "sig long, node long")
-    least = stored(spark, signed.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot <> last").select("sig", "pivot"), "pivots")
-    spokes = signed.join(small_or_shuffled(least, least.count()), "sig").filter("node <> pivot").select("node", "pivot").distinct()
-    families = connected_components(spokes, "node", "pivot").withColumnRenamed("component", "family")
-    held = first.join(small_or_shuffled(families, families.count()), "node").select("node", "family", "text").mapInArrow(_set_rows(n), "node long, family long, elements binary")
-    held = stored(spark, held, "held")
-    blocks = held.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum(F.octet_length("elements")) / BLOCK_BYTES)).cast("int").alias("g"))
-    dealt = held.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "elements")
+    # the least id of each set stands for it
+    nodes = stored(spark, real.groupBy(F.col("s1").alias("node")).agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "nodes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = dealt.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j", "node").mapInArrow(_link_rows(s), "a long, b long")
-    joined = connected_components(found.union(alike.filter("doc_id <> node").select("doc_id", "node")))
-    return facts.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    signed = own.filter("doc_id is not null and text is not null").mapInArrow(_signature_rows(n, s, seed), "sig long, node long")
+    grouped = signed.repartition(parts, "sig").sortWithinPartitions("sig", "node").mapInArrow(_group_rows, "grp long, node long, n long")
+    grouped = stored(spark, grouped, "groups")
+    giant = grouped.filter("n is null").groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    giant_n = giant.count()
+    sized = grouped.filter("n is not null").unionByName(grouped.filter("n is null").drop("n").join(small_or_shuffled(giant, giant_n), "grp"))
+    sized = sized.withColumn("g", F.ceil(F.col("n") / BLOCK_MEMBERS)).drop("n").join(nodes.drop("rep"), "node")
+    near = _dealt(sized, "g").repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "block", "node")
+    families = connected_components(near.select("grp", "i", "j", "block", "node", "n_shingles", "sketch").mapInArrow(_near_rows(s), "a long, b long"))
+    discard(grouped)
+    members = families.select("node", F.col("component").alias("family")).join(nodes.drop("sketch"), "node")
+    blocks = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int").alias("g"))
+    members = stored(spark, members.join(blocks, "family").select(F.col("rep").alias("doc_id"), "rep", "node", "family", "g"), "members")
+    held = with_keys(own.filter("text is not null"), members, ["doc_id"], members.count(), 48)
+    held = held.select("family", "g", "node", "rep", "text").mapInArrow(_set_rows(n, seed), "family long, g int, node long, rep long, elements binary")
+    dealt = _dealt(held, "g").repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j", "block", "rep")
+    found = dealt.select("family", "i", "j", "block", "rep", "elements").mapInArrow(_link_rows(s), "a long, b long")
+    # an id that several sets have joins them
+    owned = real.select("doc_id", F.col("s1").alias("node")).distinct().join(nodes.select("node", "rep"), "node").filter("rep <> doc_id").select("doc_id", "rep")
+    owned = owned.unionByName(nodes.select(F.col("rep").alias("doc_id"), "rep"))
+    several = owned.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("doc_id", "a")
+    shared = owned.join(several, "doc_id").select("a", F.col("rep").alias("b"))
+    joined = connected_components(found.union(shared))
+    labels = stored(spark, nodes.select("node", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("node").alias("s1"), F.coalesce("component", "rep").alias("component")), "classes")
+    alone = F.col("n_shingles") == 0
+    out = facts.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & ~alone, F.col("s1")).alias("s1")).join(small_or_shuffled(labels, labels.count()), "s1", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
