@@ -25,10 +25,15 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: On a shared local folder a file comes without a second one of checksums (Parquet has its own): each file that Hadoop
+#: makes there costs a process or two for its mode. Other file systems ignore this.
+_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: it cuts the lineage and survives lost executors."""
     path = f"{shared_folder(spark)}/helixframe-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **_PLAIN_FILES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

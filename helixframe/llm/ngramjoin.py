@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import discard, small_or_shuffled, stored, with_keys
 from helixframe.llm.components import connected_components
-from helixframe.llm.textblocks import WordHasher, grams, mix, slices, text_bytes
+from helixframe.llm.textblocks import WordHasher, frugal, grams, mix, slices, text_bytes
 
 #: Bounds of a family's block: sets and bytes of their elements; and of a signature group's.
 BLOCK_SETS, BLOCK_BYTES, BLOCK_MEMBERS = 4096, 32 << 20, 4096
@@ -306,7 +306,7 @@ def _group_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = mix(np.add.reduceat(mix(node.view(np.uint64)), first) + n.astype(np.uint64))
         use = np.flatnonzero(n > 1)
         use = use[np.unique(name[use], return_index=True)[1]]
-        if len(seen) > 2_000_000:
+        if len(seen) > _ROWS:
             seen.clear()
         fresh = []
         for k, x in zip(use.tolist(), name[use].tolist(), strict=True):
@@ -479,7 +479,7 @@ def _named(own: DataFrame, n: int, s: Scheme) -> tuple[DataFrame, int]:
     """The sets of all rows, named so that no two different ones have one name, and the seed of the names."""
     seed = 0
     while True:
-        facts = stored(own.sparkSession, own.mapInArrow(_facts(n, s, seed), "doc_id long, n_shingles long, s1 long, s2 long, sketch binary"), "sets")
+        facts = stored(own.sparkSession, own.mapInArrow(frugal(_facts(n, s, seed)), "doc_id long, n_shingles long, s1 long, s2 long, sketch binary"), "sets")
         if facts.filter("n_shingles > 0").groupBy("s1").agg(F.min("s2").alias("x"), F.max("s2").alias("y")).filter("x <> y").isEmpty():
             return facts, seed
         discard(facts)
@@ -495,23 +495,23 @@ def groups(docs: DataFrame, *, num: int = 8, den: int = 10, n: int = 5, id_col:
     # the least id of each set stands for it
     nodes = stored(spark, real.groupBy(F.col("s1").alias("node")).agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "nodes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signed = own.filter("doc_id is not null and text is not null").mapInArrow(_signature_rows(n, s, seed), "sig long, node long")
-    grouped = signed.repartition(parts, "sig").sortWithinPartitions("sig", "node").mapInArrow(_group_rows, "grp long, node long, n long")
+    signed = own.filter("doc_id is not null and text is not null").mapInArrow(frugal(_signature_rows(n, s, seed)), "sig long, node long")
+    grouped = signed.repartition(parts, "sig").sortWithinPartitions("sig", "node").mapInArrow(frugal(_group_rows), "grp long, node long, n long")
     grouped = stored(spark, grouped, "groups")
     giant = grouped.filter("n is null").groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     giant_n = giant.count()
     sized = grouped.filter("n is not null").unionByName(grouped.filter("n is null").drop("n").join(small_or_shuffled(giant, giant_n), "grp"))
     sized = sized.withColumn("g", F.ceil(F.col("n") / BLOCK_MEMBERS)).drop("n").join(nodes.drop("rep"), "node")
     near = _dealt(sized, "g").repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "block", "node")
-    families = connected_components(near.select("grp", "i", "j", "block", "node", "n_shingles", "sketch").mapInArrow(_near_rows(s), "a long, b long"))
+    families = connected_components(near.select("grp", "i", "j", "block", "node", "n_shingles", "sketch").mapInArrow(frugal(_near_rows(s)), "a long, b long"))
     discard(grouped)
     members = families.select("node", F.col("component").alias("family")).join(nodes.drop("sketch"), "node")
     blocks = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int").alias("g"))
     members = stored(spark, members.join(blocks, "family").select(F.col("rep").alias("doc_id"), "rep", "node", "family", "g"), "members")
     held = with_keys(own.filter("text is not null"), members, ["doc_id"], members.count(), 48)
-    held = held.select("family", "g", "node", "rep", "text").mapInArrow(_set_rows(n, seed), "family long, g int, node long, rep long, elements binary")
+    held = held.select("family", "g", "node", "rep", "text").mapInArrow(frugal(_set_rows(n, seed)), "family long, g int, node long, rep long, elements binary")
     dealt = _dealt(held, "g").repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j", "block", "rep")
-    found = dealt.select("family", "i", "j", "block", "rep", "elements").mapInArrow(_link_rows(s), "a long, b long")
+    found = dealt.select("family", "i", "j", "block", "rep", "elements").mapInArrow(frugal(_link_rows(s)), "a long, b long")
     # an id that several sets have joins them
     owned = real.select("doc_id", F.col("s1").alias("node")).distinct().join(nodes.select("node", "rep"), "node").filter("rep <> doc_id").select("doc_id", "rep")
     owned = owned.unionByName(nodes.select(F.col("rep").alias("doc_id"), "rep"))

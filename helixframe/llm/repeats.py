@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import discard, small_or_shuffled, stored, with_keys, without_keys
 from helixframe.llm.recompress import window_anchors
-from helixframe.llm.textblocks import WordHasher, grams, slices, text_bytes
+from helixframe.llm.textblocks import WordHasher, frugal, grams, slices, text_bytes
 
 WIDTH = 20
 #: Windows of one anchor that go to one task; more are dealt over several.
@@ -199,7 +199,7 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = keyed.select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(29), F.col("text")).alias("t2"))
-    facts = stored(spark, keyed.mapInArrow(_facts, "doc_id long, t1 long, t2 long, n_words long, sha string"), "facts")
+    facts = stored(spark, keyed.mapInArrow(frugal(_facts), "doc_id long, t1 long, t2 long, n_words long, sha string"), "facts")
     same = facts.groupBy("t1", "t2").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     facts = facts.join(same, ["t1", "t2"])
     long = facts.filter(F.col("n_words") >= width)
@@ -210,8 +210,8 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     named = lambda d: d.withColumns({"id": F.coalesce("doc_id", last), "none": F.col("doc_id").isNull()}).drop("doc_id")
     first = without_keys(named(keyed), named(later), ["id", "none", "t1", "t2"], later_n).drop("none")
     # anchors that the corpus has more than once, by the texts that have them
-    anchors = first.select("text", "t1").mapInArrow(_anchor_rows(width), "key long, t1 long")
-    again = stored(spark, anchors.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_repeated_keys, "key long, t1 long"), "anchors")
+    anchors = first.select("text", "t1").mapInArrow(frugal(_anchor_rows(width)), "key long, t1 long")
+    again = stored(spark, anchors.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(frugal(_repeated_keys), "key long, t1 long"), "anchors")
     hot = again.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT)
     hot = stored(spark, hot.select("key", F.ceil(F.col("n") / HOT).cast("int").alias("tasks")), "hot")
     dealt = again.join(small_or_shuffled(hot, hot.count()), "key", "left").select("t1", F.struct("key", F.coalesce("tasks", F.lit(1)).alias("tasks")).alias("k"))
@@ -220,10 +220,10 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     # the texts that have such anchors, once each
     held = stored(spark, with_keys(first, marked, ["t1"], max(n_marked, 1), 32 + key_bytes // max(n_marked, 1)), "held")
     discard(again)
-    windows = held.select("id", "text", "t1", "keys").mapInArrow(_window_rows(width), "w1 long, w2 int, salt int, id long, tie int, pos int")
+    windows = held.select("id", "text", "t1", "keys").mapInArrow(frugal(_window_rows(width)), "w1 long, w2 int, salt int, id long, tie int, pos int")
     # documents in order: by id, those of one id by the upper half of their text's hash
     runs = windows.repartition(parts, "w1", "salt").sortWithinPartitions("w1", "w2", "salt", "id", "tie", "pos")
-    later = stored(spark, runs.mapInArrow(_later_rows, "w1 long, w2 int, salt int, id long, tie int, pos int, unsure boolean"), "later")
+    later = stored(spark, runs.mapInArrow(frugal(_later_rows), "w1 long, w2 int, salt int, id long, tie int, pos int, unsure boolean"), "later")
     place = F.struct("id", "tie", "pos")
     unsure = later.filter("unsure").select("w1", "w2", place.alias("place"))
     earliest = unsure.groupBy("w1", "w2").agg(F.min("place").alias("first"))
@@ -232,7 +232,7 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     n_places, place_bytes = places.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("places") * 4), F.lit(0))).first()
     losing = held.select("t1", "t2", "text", "id", F.shiftright("t1", 32).cast("int").alias("tie"))
     losing = with_keys(losing, places, ["id", "tie"], max(n_places, 1), 32 + place_bytes // max(n_places, 1))
-    cleaned = losing.select("t1", "t2", "text", "places").mapInArrow(_remove(width), "t1 long, t2 long, n_gone long, kept_text string, kept_sha string")
+    cleaned = losing.select("t1", "t2", "text", "places").mapInArrow(frugal(_remove(width)), "t1 long, t2 long, n_gone long, kept_text string, kept_sha string")
     return facts, cleaned
 
 

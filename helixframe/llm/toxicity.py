@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.textblocks import WordHasher, non_letters, slices, text_bytes
+from helixframe.llm.textblocks import WordHasher, frugal, non_letters, slices, text_bytes
 
 #: Most labelled documents that a model is fitted on; the sample is the ids of least hash.
 TRAIN_ROWS = 16_384
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, *, id_col: str =
                 yield pa.record_batch([b.column("id"), b.column("label"), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(term.astype(np.int64)))], ["id", "label", "terms"])
 
     found = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select(F.col(id_col).alias("id"), "label", "text")
-    table = found.mapInArrow(features, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("label", T.IntegerType()), T.StructField("terms", T.ArrayType(T.LongType()))])).toArrow()
+    table = found.mapInArrow(frugal(features), T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("label", T.IntegerType()), T.StructField("terms", T.ArrayType(T.LongType()))])).toArrow()
     by_id: dict = {}
     for i, y, t in zip(table["id"].to_pylist(), table["label"].to_pylist(), (x.values.to_numpy() for x in table["terms"]), strict=True):
         key = (i, t.tobytes())
@@ -162,4 +162,4 @@ def score(docs: DataFrame, machine: Machine, *, text_col: str = "text", score_co
                 s = score_column(m, b.column(text_col), hasher)
                 yield pa.record_batch([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
