@@ -1,18 +1,21 @@
 """Chat formatting by quotation linking, in DataFrame expressions only.
 
 A message is cut into its own lines and quoted lines (``>`` marks, nested as ``> >`` or ``>>``). Runs of quoted lines of
-one level are passages. A passage, and each of its lines, is normalised (lower case, one space between words) and hashed;
-so are every message's own text, its paragraphs and its lines. A message replies to the latest earlier message of its
-conversation whose own text has the passage; shallow quotes come before deep ones, whole passages before their lines,
-longer matches before shorter ones. Following replies upwards gives each message its thread (the message that the thread
-began with) and its depth. In the order (conv_id, thread, turn) every reply follows what it answers.
+one level are passages. A passage, its paragraphs (between blank quoted lines) and its lines are normalised (lower case, one
+space between words) and hashed; so are every message's own text, its paragraphs and its lines. A message replies to the
+latest earlier message of its conversation whose own text has the passage; shallow quotes come before deep ones, whole
+passages before their paragraphs and these before lines, longer matches before shorter ones. A quote of part of a line
+matches nothing. A message that quotes nothing, or nothing that was said, replies to the turn before it. Following replies
+upwards gives each message its thread (the message that the thread began with) and its depth. In the order (conv_id,
+thread, turn) every reply follows what it answers. Messages are parsed once, into a table in the shared folder.
 
 The latest earlier message that has a hash is found by an as-of search in two steps (within stretches of turns, then over
 stretches), so a line that is quoted and said very often makes no pairs.
 
 Defined results: a null text has no lines and gets an empty text; lines of a message that are only marks are dropped;
-rows that repeat (conv_id, turn) are each resolved by themselves, and what answers that turn answers them all; rows whose
-conv_id or turn is null answer nothing, are answered by nothing, and are their own thread.
+rows that repeat (conv_id, turn) are each resolved by themselves (their thread and depth are those of the one that replies
+to the latest turn), and what answers that turn answers them all; rows whose conv_id or turn is null answer nothing, are
+answered by nothing, and are their own thread; other columns play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -53,7 +56,9 @@ def _split(lines: Column) -> Column:
     def runs(s: Column) -> Column:
         def run(start: Column, k: Column) -> Column:
             inside = F.transform(F.slice(lines, start + 1, F.coalesce(F.get(s, k + 1), n) - start), lambda x: normalised(x["content"]))
-            return F.struct(level(start).alias("level"), F.filter(inside, lambda x: x != "").alias("lines"))
+            said = lambda xs: F.filter(xs, lambda x: x != "")
+            cut = F.split(F.array_join(F.transform(inside, lambda x: F.when(x == "", "\x01").otherwise(x)), " "), "\x01")
+            return F.struct(level(start).alias("level"), said(inside).alias("lines"), said(F.transform(cut, F.trim)).alias("paragraphs"))
 
         return F.filter(F.transform(s, run), lambda q: (q["level"] > 0) & (F.size(q["lines"]) > 0))
 
@@ -88,7 +93,9 @@ def latest_before(asks: DataFrame, answers: DataFrame, keys: list[str]) -> DataF
 def replies(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, row_key, parent): what each message with a matched quote answers. messages: parsed, with row_key."""
     quoted = messages.filter(F.size("quotes") > 0).select("conv_id", "turn", "row_key", F.explode("quotes").alias("q"))
-    texts = quoted.select("conv_id", "turn", "row_key", F.col("q.level").alias("level"), F.explode(F.concat(F.array(F.struct(F.lit(1).alias("whole"), F.array_join("q.lines", " ").alias("text"))), F.transform("q.lines", lambda x: F.struct(F.lit(0).alias("whole"), x.alias("text"))))).alias("t"))
+    ask = lambda whole, xs: F.transform(xs, lambda x: F.struct(F.lit(whole).alias("whole"), x.alias("text")))
+    each = F.concat(ask(2, F.array(F.array_join("q.lines", " "))), ask(1, F.col("q.paragraphs")), ask(0, F.col("q.lines")))
+    texts = quoted.select("conv_id", "turn", "row_key", F.col("q.level").alias("level"), F.explode(each).alias("t"))
     asks = texts.select("conv_id", "turn", "row_key", "level", F.col("t.whole").alias("whole"), F.length("t.text").alias("size"), F.xxhash64("t.text").alias("h1"), F.xxhash64(F.lit(31), "t.text").alias("h2"))
     asked = asks.select("conv_id", "h1", "h2").distinct()
     answers = messages.select("conv_id", "turn", F.explode(said(F.col("own"))).alias("text")).select("conv_id", "turn", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(31), "text").alias("h2")).join(asked, ["conv_id", "h1", "h2"], "left_semi")
@@ -109,13 +116,21 @@ def threads(links: DataFrame) -> DataFrame:
             return at.withColumnRenamed("up", "thread")
 
 
+def turn_before(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, before): the greatest earlier turn of the conversation, for each turn that has one."""
+    turns = messages.select("conv_id", "turn").distinct()
+    return latest_before(turns, turns, ["conv_id"]).withColumnRenamed("found", "before")
+
+
 def conversations(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, thread, depth, turn, parent_turn, role, text (without quotes), n_quotes for each row."""
+    """conv_id, thread, depth, turn, parent_turn, quoted (is the parent found by a quote), role, text (without quotes), n_quotes."""
     own = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).cast("string").alias("text"))
-    own = parsed(own).withColumn("row_key", F.xxhash64("conv_id", "turn", "role", "text"))
+    own = parsed(own).withColumn("row_key", F.xxhash64("conv_id", "turn", "role", "text")).drop("text")
+    own = stored(messages.sparkSession, own, "parsed")
     usable = own.filter("conv_id is not null and turn is not null")
-    parent = stored(messages.sparkSession, replies(usable), "replies")
-    by_turn = parent.groupBy("conv_id", "turn").agg(F.max("parent").alias("parent"))
-    thread = threads(by_turn)
-    out = own.join(parent.withColumnRenamed("parent", "parent_turn"), ["conv_id", "turn", "row_key"], "left").join(thread, ["conv_id", "turn"], "left")
-    return out.select("conv_id", F.when(F.col("parent_turn").isNotNull(), F.col("thread")).otherwise(F.col("turn")).alias("thread"), F.when(F.col("parent_turn").isNotNull(), F.col("depth")).otherwise(F.lit(0)).cast("long").alias("depth"), "turn", "parent_turn", "role", F.col("own").alias("text"), F.size("quotes").cast("long").alias("n_quotes"))
+    keys = ["conv_id", "turn"]
+    parent = usable.select(*keys, "row_key").distinct().join(replies(usable), [*keys, "row_key"], "left").join(turn_before(usable), keys, "left")
+    parent = stored(messages.sparkSession, parent.select(*keys, "row_key", F.coalesce("parent", "before").alias("parent_turn"), F.col("parent").isNotNull().alias("quoted")).filter("parent_turn is not null"), "replies")
+    thread = threads(parent.groupBy(*keys).agg(F.max("parent_turn").alias("parent")))
+    out = own.join(parent, [*keys, "row_key"], "left").join(thread, keys, "left")
+    return out.select("conv_id", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"), "turn", "parent_turn", F.coalesce("quoted", F.lit(False)).alias("quoted"), "role", F.col("own").alias("text"), F.size("quotes").cast("long").alias("n_quotes"))

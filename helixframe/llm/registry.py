@@ -59,6 +59,15 @@ def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(read(spark, sf_dir, "conversations"))
 
 
+#: Holds where no line is quoted, as in the given tables: every message replies to the turn before it. Quotes have no
+#: SQL form; the tests compare them with brute force.
+OP7_SQL = r"""WITH t AS (SELECT conv_id, turn, CAST(dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS depth,
+  min(turn) OVER (PARTITION BY conv_id) AS thread, max(turn) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+  role, regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS own FROM conversations)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(thread AS BIGINT) AS thread, depth, CAST(turn AS BIGINT) AS turn, CAST(before AS BIGINT) AS parent_turn,
+  false AS quoted, role, own AS text, CAST(0 AS BIGINT) AS n_quotes FROM t"""
+
+
 def vocabulary(path: str | None = None) -> str:
     """Text of the tokenizer file, read on the driver; the installed public one unless a path is given."""
     if path is None:
@@ -97,4 +106,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3_SQL, "op9_decontam": OP9_SQL}
+    return {"op3_topk": OP3_SQL, "op7_quotes": OP7_SQL, "op9_decontam": OP9_SQL}

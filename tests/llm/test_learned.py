@@ -81,3 +81,20 @@ def test_languages(spark):
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (900, 901, 902)) and got[None]["lang_pred"] == "fr" and got[903]["lang_pred"] == "en"
     assert {r["lang_pred"] for r in langid.identify(df, langid.learn_profiles(df, F.lit(False))).collect()} == {"und"}
     assert langid.identify(df.filter("false"), {"x": [97]}).collect() == []
+
+
+def test_pairs_that_no_linear_model_can_tell(spark):
+    """Neither term of a pair says anything alone: one toxic pair (either, not both), and a pair toxic only together."""
+    rng = np.random.default_rng(4)
+    for rule in ("xor", "same"):
+        rows, labels = [], []
+        for i in range(3000):
+            a, b = rng.random(2) < 0.5
+            words = [f"w{k}" for k in rng.integers(0, 300, 25)] + ["red"] * bool(a) + ["blue"] * bool(b)
+            rows.append((i, " ".join(rng.permutation(words))))
+            labels.append((i, int((a != b) if rule == "xor" else (a == b))))
+        docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+        machine = toxicity.fit(docs, marks, F.col("doc_id") % 5 != 0)
+        found = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, machine).collect()}
+        held = [(found[i], y) for i, y in labels if i % 5 == 0]
+        assert np.mean([p == y for p, y in held]) >= 0.95
