@@ -63,12 +63,40 @@ def kmer_entropy_of(seq: str | None, k: int = 6, compat: bool = False) -> float
     return float(-(p * np.log2(p)).sum() + 0.0)
 
 
+def kmer_entropies(texts: list[str | None], k: int = 6, compat: bool = False) -> np.ndarray:
+    """``kmer_entropy_of`` each text, NaN for null, worked out over all of them at once."""
+    raw = [b"" if x is None or len(x) < k or (compat and len(x) == k) else x.encode("ascii", "replace") for x in texts]
+    size = np.array([len(x) for x in raw], np.int64)
+    code, row = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64) & 7, np.repeat(np.arange(len(raw)), size)
+    if compat:
+        keep = np.ones(len(code), bool)
+        keep[(np.cumsum(size) - size)[size > 0] + k - 1] = False
+        code, row, size = code[keep], row[keep], size - (size > 0)
+    m = max(len(code) - k + 1, 0)
+    kmer = np.zeros(m, np.int64)
+    for i in range(k):
+        kmer = kmer * 8 + code[i : i + m]
+    whole = row[:m] == row[k - 1 :][:m] if m else np.zeros(0, bool)
+    found, n = np.unique((row[:m][whole] << (3 * k)) | kmer[whole], return_counts=True)
+    owner = found >> (3 * k)
+    total = np.maximum(size - k + 1, 0) + (1 if compat else 0)
+    p = n / total[owner]
+    out = -np.bincount(owner, p * np.log2(p), len(raw)) + 0.0
+    return np.where(size >= k, out, np.nan)
+
+
 def kmer_entropy(seq: Column, k: int = 6, compat: bool = False) -> Column:
+    """Worked out once for each row, also where a filter looks at it: the plan may not copy it."""
+
     @F.pandas_udf("double")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: kmer_entropy_of(x, k, compat))
+        out, texts = [], s.tolist()
+        for i in range(0, len(texts), 64):
+            out.append(kmer_entropies(texts[i : i + 64], k, compat))
+        return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    return run(seq)
+    h = run.asNondeterministic()(seq)
+    return F.nanvl(h, F.lit(None).cast("double"))
 
 
 def log_factorials(n: Column) -> Column:

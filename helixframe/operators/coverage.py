@@ -70,15 +70,19 @@ def covered_islands(cov: DataFrame, least_width: int = 7) -> DataFrame:
     return islands(thr, F.col("cov") > F.expr("mean div 4"), ["contig"], "unit").filter(F.col("end") - F.col("start") >= least_width)
 
 
-def windows(cov: DataFrame, size: int = 20, overlap: int = 0) -> DataFrame:
-    """Islands cut into windows: one if narrower than ``size``, else n + 1 of them (the last may be empty), from unit 1 on."""
+def windows(cov: DataFrame, size: int = 20, overlap: int = 0, compat: bool = False) -> DataFrame:
+    """Islands cut into windows: one if narrower than ``size``, else n + 1 of them (the last may be empty), from unit 1 on.
+
+    All but the last two are ``size`` wide; these two end with the island. compat: a window is that wide while its number
+    is less than the place (not the number) of the last one but one.
+    """
     step = size - overlap
     n = F.when(F.col("end") - F.col("start") < size, F.lit(0)).otherwise(F.call_function("div", F.col("end") - F.col("start"), F.lit(step)))
     i = covered_islands(cov).select("contig", "start", "end", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long"))).alias("i"))
     last = F.call_function("div", F.col("end") - F.col("start"), F.lit(step)) - 1
     s = F.col("start") + F.col("i") * step
     narrow = F.col("end") - F.col("start") < size
-    full = ~narrow & (F.col("i") < F.col("start") + last * step)
+    full = ~narrow & (F.col("i") < (F.col("start") + last * step if compat else last))
     return i.select("contig", F.greatest(s, F.lit(1)).alias("start"), F.when(full, s + size).otherwise(F.col("end")).alias("end"))
 
 
@@ -153,9 +157,18 @@ def peak_ranges(starts: DataFrame, lengths: DataFrame) -> DataFrame:
     return starts.withColumn("next", nxt).join(F.broadcast(lengths), "contig").select("contig", "start", F.coalesce("next", "length").alias("end"))
 
 
-def as_of(points: DataFrame, starts: DataFrame, keys: list[str], at: str, start: str) -> DataFrame:
-    """``points`` with ``found``: the greatest start at or before ``at``. One sort by key and place, no pairs."""
-    a = points.withColumn("__s", F.lit(None).cast("long")).withColumn("__at", F.col(at)).withColumn("__k", F.lit(1))
-    b = starts.select(*keys, F.col(start).alias("__s"), F.col(start).alias("__at"), F.lit(0).alias("__k"))
-    w = Window.partitionBy(*keys).orderBy("__at", "__k").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b, allowMissingColumns=True).withColumn("found", F.last("__s", True).over(w)).filter("__k = 1").drop("__s", "__at", "__k")
+def as_of(points: DataFrame, starts: DataFrame, keys: list[str], at: str, start: str, bin_size: int = 1024) -> DataFrame:
+    """``points`` with ``found``: the greatest start at or before ``at``.
+
+    Points look among the starts of their own bin of the axis; a bin without one gets the last start of the bins before,
+    which is found over a row for each bin. So the points of a key meet in as many groups as it has bins.
+    """
+    at_bin = lambda c: F.floor(F.col(c) / bin_size)
+    there = starts.select(*keys, F.col(start).alias("__s"), at_bin(start).alias("__b")).distinct()
+    asked = points.select(*keys, F.col(at).alias("__at"), at_bin(at).alias("__b")).distinct()
+    near = asked.join(there, [*keys, "__b"], "left").filter("__s is null or __s <= __at").groupBy(*keys, "__at", "__b").agg(F.max("__s").alias("near"))
+    lost = asked.join(near, [*keys, "__at", "__b"], "left")
+    bins = there.groupBy(*keys, "__b").agg(F.max("__s").alias("top")).unionByName(asked.select(*keys, "__b").distinct().withColumn("top", F.lit(None).cast("long"))).groupBy(*keys, "__b").agg(F.max("top").alias("top"))
+    before = bins.withColumn("far", F.max("top").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).drop("top")
+    found = lost.join(before, [*keys, "__b"], "left").select(*keys, F.col("__at").alias(at), F.coalesce("near", "far").alias("found"))
+    return points.join(found, [*keys, at], "left")

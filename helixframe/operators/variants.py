@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from helixframe.functions.sequences import log_factorials
 
 BASES = ("a", "c", "g", "t")
+_GAP = ord("-")
 
 
 def bases_of(reads: DataFrame, seq: str = "seq") -> DataFrame:
@@ -16,6 +20,87 @@ def bases_of(reads: DataFrame, seq: str = "seq") -> DataFrame:
     return reads.select("read_id", F.posexplode(F.filter(F.split(seq, ""), lambda x: x != "")).alias("pos", "base")).withColumn("pos", F.col("pos").cast("long"))
 
 
+def _letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts of a batch, the row and the place of each. Letters are ASCII."""
+    column = column.cast(pa.large_string()).fill_null("")
+    off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+    row = np.repeat(np.arange(len(column)), np.diff(off))
+    return raw, row, np.arange(len(raw)) - (off[:-1] - off[0])[row]
+
+
+def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, rows) for i in range(0, len(batch), rows))
+
+
+class _Sums:
+    """Counts by place and channel that grow with the places seen: a task's result has a row for each place."""
+
+    def __init__(self, channels: int):
+        self.n = np.zeros((0, channels), np.int64)
+
+    def add(self, place: np.ndarray, channel: int) -> None:
+        more = np.bincount(place)
+        if len(more) > len(self.n):
+            self.n = np.concatenate((self.n, np.zeros((len(more) - len(self.n), self.n.shape[1]), np.int64)))
+        self.n[: len(more), channel] += more
+
+    def rows(self, names: list[str]) -> pa.RecordBatch:
+        at = np.flatnonzero(self.n.any(1))
+        return pa.record_batch([pa.array(at), *(pa.array(self.n[at, k]) for k in range(self.n.shape[1]))], names=["pos", *names])
+
+
+def pileup_of(reads: DataFrame, seq: str = "seq") -> DataFrame:
+    """``pileup`` of whole sequences: each task counts its own by place, so places are shuffled and not bases."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums(4)
+        for batch in batches:
+            for b in _slices(batch):
+                raw, _, place = _letters(b.column(0))
+                for k, letter in enumerate(b"ACGT"):
+                    sums.add(place[raw == letter], k)
+        yield sums.rows(list(BASES))
+
+    return reads.select(seq).mapInArrow(run, "pos long, a long, c long, g long, t long").groupBy("pos").agg(*(F.sum(b).alias(b) for b in BASES))
+
+
+def gap_runs_of(reads: DataFrame, seq: str) -> DataFrame:
+    """``indel_runs`` of whole gapped sequences, by the same way."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums(1)
+        for batch in batches:
+            for b in _slices(batch):
+                raw, _, place = _letters(b.column(0))
+                gap = raw == _GAP
+                first = gap.copy()
+                first[1:] &= ~gap[:-1] | (place[1:] == 0)
+                sums.add(place[first], 0)
+        yield sums.rows(["n"])
+
+    return reads.select(seq).mapInArrow(run, "pos long, n long").groupBy("pos").agg(F.sum("n").alias("n"))
+
+
+def transitions_of(pairs: DataFrame, r: str = "r", q: str = "q") -> DataFrame:
+    """(op, next, n) of whole gapped pairs of equal lengths: consecutive operations, and with a null next all of each."""
+    ops = "MXID"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((4, 5), np.int64)
+        for batch in batches:
+            for b in _slices(batch):
+                (x, row, _), (y, _, _) = _letters(b.column(0)), _letters(b.column(1))
+                op = np.where(x == _GAP, 2, np.where(y == _GAP, 3, np.where(x != y, 1, 0)))
+                same = row[1:] == row[:-1]
+                n[:, :4] += np.bincount(op[:-1][same] * 4 + op[1:][same], minlength=16).reshape(4, 4)
+                n[:, 4] += np.bincount(op, minlength=4)
+        i, j = np.nonzero(n)
+        yield pa.record_batch([pa.array([ops[k] for k in i], pa.string()), pa.array([ops[k] if k < 4 else None for k in j], pa.string()), pa.array(n[i, j])], names=["op", "next", "n"])
+
+    return pairs.select(r, q).mapInArrow(run, "op string, next string, n long").groupBy("op", "next").agg(F.sum("n").alias("n"))
+
+
 def pileup(bases: DataFrame) -> DataFrame:
     """(pos, a, c, g, t): counts of each base at each place; gaps do not count."""
     return bases.filter(F.col("base").isin("A", "C", "G", "T")).groupBy("pos").agg(*(F.count_if(F.col("base") == b.upper()).alias(b) for b in BASES))
@@ -38,12 +123,6 @@ def call_variants(piles: DataFrame, p: float, sigmas: float = 8.0) -> DataFrame:
     return minor_alleles(piles).filter(F.col("maf") > p + sigmas * F.sqrt(F.lit(p * (1 - p)) / F.col("total")))
 
 
-def indel_runs(bases: DataFrame, gap: str = "-") -> DataFrame:
-    """(pos, n): in how many rows a run of gaps begins at each place."""
-    before = F.lag("base").over(Window.partitionBy("read_id").orderBy("pos"))
-    return bases.withColumn("before", before).filter((F.col("base") == gap) & (F.col("before").isNull() | (F.col("before") != gap))).groupBy("pos").agg(F.count(F.lit(1)).alias("n"))
-
-
 def variant_pairs(bases: DataFrame, sites: DataFrame, least: int = 3) -> DataFrame:
     """(pos1, pos2, tot, mac1, mac2, share) of pairs of sites over the reads that cover both, with share > ``least``."""
     at = bases.join(F.broadcast(sites.select("pos", "minor")), "pos").select("read_id", "pos", (F.col("base") == F.col("minor")).alias("m"))
@@ -88,10 +167,3 @@ def error_rates(pairs: DataFrame) -> DataFrame:
     kind = F.when(F.col("r") == "-", "I").when(F.col("q") == "-", "D").when(F.col("r") != F.col("q"), "X").otherwise("M")
     n = lambda k: F.count_if(kind == k) / F.count(F.lit(1))
     return pairs.agg(n("X").alias("mismatch"), n("I").alias("insertion"), n("D").alias("deletion"))
-
-
-def operation_transitions(pairs: DataFrame) -> DataFrame:
-    """(op, next, n): counts of consecutive operations within alignments."""
-    kind = F.when(F.col("r") == "-", "I").when(F.col("q") == "-", "D").when(F.col("r") != F.col("q"), "X").otherwise("M")
-    t = pairs.withColumn("op", kind).withColumn("next", F.lead(kind).over(Window.partitionBy("read_id").orderBy("pos")))
-    return t.filter("next is not null").groupBy("op", "next").agg(F.count(F.lit(1)).alias("n"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.plans import alignments, native, sequences, units
+from helixframe.plans import alignments, native, sequences, structure, units
 
-MODULES = (units, alignments, sequences, native)
+MODULES = (units, alignments, sequences, structure, native)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

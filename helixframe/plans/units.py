@@ -72,7 +72,7 @@ ORACLES = {
     "windows": f"""{_COV}, m AS (SELECT contig, CAST(sum(cov) AS BIGINT) // count(*) // 4 AS thr FROM cov GROUP BY 1), x AS (SELECT contig, unit FROM cov JOIN m USING (contig) WHERE cov > thr),
     i AS (SELECT * FROM ({_ISLES}) WHERE "end" - start > 6),
     w AS (SELECT *, ("end" - start) // 20 AS n, unnest(range(0, CASE WHEN "end" - start < 20 THEN 1 ELSE ("end" - start) // 20 + 1 END)) AS i FROM i)
-    SELECT contig, greatest(start + i * 20, 1) AS start, CASE WHEN "end" - start >= 20 AND i < start + (n - 1) * 20 THEN start + i * 20 + 20 ELSE "end" END AS "end" FROM w""",
+    SELECT contig, greatest(start + i * 20, 1) AS start, CASE WHEN "end" - start >= 20 AND i < n - 1 THEN start + i * 20 + 20 ELSE "end" END AS "end" FROM w""",
     "read_window_join": f"WITH {UNITS_SQL} SELECT contig, unit // 20 AS win, read_id, count(*) AS n_units, min(unit) AS first_unit, max(unit) AS last_unit FROM units GROUP BY ALL",
     "peak_islands": f"""WITH {UNITS_SQL}, u AS (SELECT read_id, pos, contig, unit * unit // 100 AS unit FROM units), {_SS},
     t AS (SELECT contig, greatest(CAST(floor(avg(n) + 0.5 * sqrt(greatest(avg(n * n) - avg(n) * avg(n), 0))) AS BIGINT), 1) AS thr FROM ss WHERE n > 0 GROUP BY 1),

@@ -13,7 +13,7 @@ def test_components(spark):
     assert got == {0: 0, 1: 0, 2: 0, 4: 0, 7: 7, 8: 7} | {k: 100 for k in range(100, 161)}
 
 
-def windows_by_hand(cov):
+def windows_by_hand(cov, compat=False):
     thr, out, start = sum(cov) // len(cov) // 4, [], 0
     while start < len(cov):
         end = start
@@ -21,7 +21,7 @@ def windows_by_hand(cov):
             end += 1
         if end - start > 6:
             n = (end - start) // 20
-            out += [(start, end)] if n == 0 else [(start + i * 20, start + i * 20 + 20 if i < start + (n - 1) * 20 else end) for i in range(n + 1)]
+            out += [(start, end)] if n == 0 else [(start + i * 20, start + i * 20 + 20 if i < (start + (n - 1) * 20 if compat else n - 1) else end) for i in range(n + 1)]
         start = end + 1
     return sorted((max(s, 1), e) for s, e in out)
 
@@ -29,7 +29,8 @@ def windows_by_hand(cov):
 def test_windows(spark):
     for cov in ([10] * 5000, [10 if 100 < i < 500 else 100 for i in range(4000)], [9] * 45 + [0] + [9] * 7 + [0] + [9] * 6 + [0] * 40):
         df = spark.createDataFrame([(0, i, c) for i, c in enumerate(cov)], "contig long, unit long, cov long")
-        assert sorted((r["start"], r["end"]) for r in C.windows(df).collect()) == windows_by_hand(cov)
+        for compat in (False, True):
+            assert sorted((r["start"], r["end"]) for r in C.windows(df, compat=compat).collect()) == windows_by_hand(cov, compat)
 
 
 def test_first_interval_and_compat(spark):
