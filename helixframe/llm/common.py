@@ -79,12 +79,13 @@ def _marked(rows: DataFrame, keys: DataFrame, on: list[str], n: int) -> DataFram
     return rows.withColumn("__hit", F.expr(f"__bits is not null and (shiftright({byte}, cast(__p % 8 as int)) & 1) = 1")).drop("__p", "__page", "__bits")
 
 
-def with_keys(rows: DataFrame, side: DataFrame, on: list[str], n: int, width: int = 32) -> DataFrame:
+def with_keys(rows: DataFrame, side: DataFrame, on: list[str], n: int, width: int | None = 32) -> DataFrame:
     """Inner join of wide rows with ``n`` narrow rows of ``width`` bytes, on columns of equal names.
 
     Rows whose key the side lacks stay where they are, whatever the side's size: a large side is shuffled behind a bitmap.
+    A width of None stands for a side that grows as the rows do: it is never broadcast.
     """
-    if n * width <= BROADCAST_BYTES:
+    if width is not None and n * width <= BROADCAST_BYTES:
         return rows.join(F.broadcast(side), on)
     return _marked(rows, side, on, n).filter("__hit").drop("__hit").join(side, on)
 

@@ -216,9 +216,8 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     hot = stored(spark, hot.select("key", F.ceil(F.col("n") / HOT).cast("int").alias("tasks")), "hot")
     dealt = again.join(small_or_shuffled(hot, hot.count()), "key", "left").select("t1", F.struct("key", F.coalesce("tasks", F.lit(1)).alias("tasks")).alias("k"))
     marked = stored(spark, dealt.groupBy("t1").agg(F.collect_set("k").alias("keys")), "marked")  # bounded by one text
-    n_marked, key_bytes = marked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("keys") * 16), F.lit(0))).first()
     # the texts that have such anchors, once each
-    held = stored(spark, with_keys(first, marked, ["t1"], max(n_marked, 1), 32 + key_bytes // max(n_marked, 1)), "held")
+    held = stored(spark, with_keys(first, marked, ["t1"], marked.count(), None), "held")
     discard(again)
     windows = held.select("id", "text", "t1", "keys").mapInArrow(frugal(_window_rows(width)), "w1 long, w2 int, salt int, id long, tie int, pos int")
     # documents in order: by id, those of one id by the upper half of their text's hash
@@ -229,9 +228,8 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     earliest = unsure.groupBy("w1", "w2").agg(F.min("place").alias("first"))
     sure = unsure.join(earliest, ["w1", "w2"]).filter("place <> first").select("place.*").unionByName(later.filter("not unsure").select("id", "tie", "pos"))
     places = stored(spark, sure.groupBy("id", "tie").agg(F.collect_set("pos").alias("places")), "places")  # bounded by one text
-    n_places, place_bytes = places.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("places") * 4), F.lit(0))).first()
     losing = held.select("t1", "t2", "text", "id", F.shiftright("t1", 32).cast("int").alias("tie"))
-    losing = with_keys(losing, places, ["id", "tie"], max(n_places, 1), 32 + place_bytes // max(n_places, 1))
+    losing = with_keys(losing, places, ["id", "tie"], places.count(), None)
     cleaned = losing.select("t1", "t2", "text", "places").mapInArrow(frugal(_remove(width)), "t1 long, t2 long, n_gone long, kept_text string, kept_sha string")
     return facts, cleaned
 
