@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.operators import assembly, graphs, tiling
-from helixframe.plans.adapters import reads, units
+from helixframe.plans.adapters import alns, reads, units, votes
 
 
 def _tiles(s, d):
@@ -29,7 +29,31 @@ def _gibbs(s, d):
     return assembly.gibbs_by_window(rows.groupBy("win", "read_id", "pos").agg(F.min("base").alias("base")), 2)
 
 
+def _turned(s, d):
+    """Every tenth read, whole; every second of them goes on with its own reverse complement."""
+    r = reads(s, d).filter("length(seq) between 150 and 900").select("read_id", "seq")
+    back = F.reverse(F.translate("seq", "ACGT", "TGCA"))
+    return r.withColumn("seq", F.when(F.col("read_id") % 2 == 0, F.concat("seq", back)).otherwise(F.col("seq")))
+
+
+def _labels(s, d):
+    """Reads of three windows' labels, one in eleven of which is another."""
+    u = units(s, d).filter("pos <= 12")
+    cluster = F.when((F.col("unit") % 11) == 0, F.lit(1)).otherwise(F.lit(0)) + F.col("read_id") % 2 * 2
+    return u.select("read_id", (F.col("pos") - 1).alias("pos"), (F.col("pos") - 1).alias("win"), cluster.cast("long").alias("cluster"))
+
+
+def _graphs(s, d):
+    v = votes(s, d).select("win", (F.col("read_id") % 20).alias("read_id"), (F.col("cluster") % 5).alias("cluster"))
+    a, b = v.withColumnRenamed("cluster", "a"), v.select((F.col("win") - 1).alias("win"), "read_id", F.col("cluster").alias("b"))
+    return a.join(b, ["win", "read_id"]).groupBy("win", "a", "b").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
 QUERIES = {
+    "chimera_clip": lambda s, d: assembly.clipped(_turned(s, d)).select("read_id", "start", "end", F.length("seq").cast("long").alias("n")),
+    "read_qc": lambda s, d: assembly.quality_reads(_turned(s, d), alns(s, d).select((F.col("read_id") % 2000).alias("read_id")), 5.0, 150).select("read_id", "start", "end"),
+    "read_correction": lambda s, d: assembly.corrected_units(assembly.corrected_units(_labels(s, d))),
+    "matching": lambda s, d: assembly.matched_clusters(_graphs(s, d)),
     "tiling": _tiles,
     "unitigs": lambda s, d: assembly.unitigs_by_cluster(_edges(s, d)),
     "simple_path": lambda s, d: assembly.simple_paths(_edges(s, d)),

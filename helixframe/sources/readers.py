@@ -125,3 +125,13 @@ def assemblies(spark: SparkSession, pattern: str) -> DataFrame:
     rec = spark.read.option("lineSep", ">").text(pattern).select("value", F.regexp_extract("_metadata.file_path", r"/([0-9]+)/[^/]*$", 1).try_cast("int").alias("index")).filter(F.trim("value") != "")
     head = F.split_part("value", F.lit("\n"), F.lit(1))
     return rec.filter("index is not null").select("index", F.regexp_extract(head, r"^(\S*)", 1).alias("id"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "").alias("seq"))
+
+
+def json_records(spark: SparkSession, path: str, schema: str, whole: bool = True) -> DataFrame:
+    """Records of JSON files of a given schema: a document (an object or array) for each file, or with ``whole`` off one for each line."""
+    return spark.read.schema(schema).option("multiLine", whole).option("mode", "FAILFAST").json(path)
+
+
+def table(spark: SparkSession, path: str, schema: str, header: bool = True, sep: str = "\t") -> DataFrame:
+    """A table of separated values with a schema; ``NA`` and empty fields are null."""
+    return spark.read.schema(schema).option("sep", sep).option("header", header).option("nullValue", "NA").csv(path)

@@ -88,9 +88,94 @@ def test_alignments():
     rng = np.random.default_rng(2)
     s = "".join(rng.choice(list("ACGT"), 120))
     turned = s[::-1].translate(str.maketrans("ACGT", "TGCA"))
-    yes, cut = A.is_self_chimera(s[:80] + turned[40:], 30)
-    assert yes and 60 <= cut <= 100
-    assert A.is_self_chimera(s[:60], 30)[0] is False
+    n = len(s) * 2
+    start, end = A.unchimeric(s + turned, 30)
+    assert (start, end) in ((len(s), n), (0, len(s)))
+    assert A.unchimeric(s[:60], 30) == (0, 60)
+
+
+def slow_local_alignment(x, y):
+    """The recurrence, cell by cell: the score alone."""
+    low = -(10**9)
+    h, e, best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)], [[low] * (len(y) + 1) for _ in range(len(x) + 1)], 0
+    for i in range(1, len(x) + 1):
+        f = low
+        for j in range(1, len(y) + 1):
+            e[i][j] = max(h[i - 1][j] - 4, e[i - 1][j] - 1)
+            f = max(h[i][j - 1] - 4, f - 1)
+            h[i][j] = max(0, h[i - 1][j - 1] + (1 if x[i - 1] == y[j - 1] else -1), e[i][j], f)
+            best = max(best, h[i][j])
+    return best
+
+
+def score_of(x, y):
+    """Best score of an alignment of all of x and all of y."""
+    low = -(10**9)
+    h, e = [[low] * (len(y) + 1) for _ in range(len(x) + 1)], [[low] * (len(y) + 1) for _ in range(len(x) + 1)]
+    h[0][0] = 0
+    for i in range(len(x) + 1):
+        f = low
+        for j in range(len(y) + 1):
+            if i:
+                e[i][j] = max(h[i - 1][j] - 4, e[i - 1][j] - 1)
+            if j:
+                f = max(h[i][j - 1] - 4, f - 1)
+            h[i][j] = max(h[i][j], e[i][j], f, h[i - 1][j - 1] + (1 if x[i - 1] == y[j - 1] else -1) if i and j else low)
+    return h[-1][-1]
+
+
+def test_local_alignment_equals_the_recurrence():
+    rng = np.random.default_rng(12)
+    for _ in range(40):
+        x = "".join(rng.choice(list("ACGT"), rng.integers(1, 40)))
+        y = "".join(rng.choice(list("ACGT"), rng.integers(1, 40)))
+        if rng.random() < 0.6:
+            y = y[:10] + x[3:20] + "A" * rng.integers(0, 4) + x[20:] + y[10:]
+        score, xs, xe, ys, ye = A.local_alignment(x, y)
+        assert score == slow_local_alignment(x, y) and (score == 0 or score_of(x[xs:xe], y[ys:ye]) == score)
+
+
+def test_parts_that_stay():
+    assert A.kept_part(10, (0, 50), (0, 50), 100) is None
+    assert A.kept_part(90, (100, 900), (120, 920), 5000) == (510, 5000) and A.kept_part(90, (4100, 4900), (4120, 4920), 5000) == (0, 4510)
+    assert A.kept_part(90, (0, 300), (2000, 2300), 9000) == (2000, 9000) and A.kept_part(90, (5000, 5300), (8000, 8300), 9000) == (0, 5300)
+    assert A.kept_part(90, (0, 1000), (500, 1500), 9000) is None
+
+
+def test_correction_restores_planted_labels(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for read in range(24):
+        path = [(w, read % 2 if w > 2 else 0) for w in range(8)]
+        if read % 3 == 0:
+            path = path[::-1]
+        rows += [(read, i, w, 5 if rng.random() < 0.1 else c) for i, (w, c) in enumerate(path)]
+    got = A.corrected_units(spark.createDataFrame(rows, "read_id long, pos long, win long, cluster long")).collect()
+    true = lambda read, win: read % 2 if win > 2 else 0
+    wrong = sum(r["cluster"] != true(r["read_id"], r["win"]) for r in got)
+    before = sum(c != true(read, w) for read, _, w, c in rows)
+    # a read of which nearly half is wrong is like no other and stays
+    assert len(got) == len(rows) and before > 12 and wrong <= 4
+
+
+def test_position_weights_find_the_telling_place():
+    rng = np.random.default_rng(6)
+    labels = np.repeat([0, 1], 30)
+    lk = rng.normal(size=(60, 7, 2)) * 0.1
+    lk[:, 4, 0] += np.where(labels == 0, 1.5, -1.5)
+    w = A.position_weights(lk, labels)
+    assert w.argmax() == 4 and w.max() == 2 and np.sort(w)[-2] < 0.6
+
+
+def test_digamma(spark):
+    from pyspark.sql import functions as F
+
+    from helixframe.functions import numbers as N
+
+    got = [r[0] for r in spark.createDataFrame([(1.0,), (0.5,), (20.0,), (-0.5,), (-2.0,)], "x double").select(N.digamma(F.col("x"))).collect()]
+    euler = 0.5772156649015329
+    harmonic = sum(1 / k for k in range(1, 20))
+    assert np.allclose(got[:4], [-euler, -euler - 2 * np.log(2), harmonic - euler, -euler - 2 * np.log(2) + 2]) and got[4] == -np.inf
 
 
 def test_every_query_has_an_oracle():

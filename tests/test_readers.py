@@ -88,3 +88,30 @@ def test_tiling(spark):
     assert len(rev) >= 8 and all(b == contig[u * 100 : u * 100 + 100] for u, b in rev)
     none = [r for r in rows if r["read_id"] == "none"]
     assert len(none) == 1 and none[0]["is_gap"] and none[0]["gap_lo"] is None
+
+
+def test_json_tables_and_checkpoints(spark, tmp_path):
+    from helixframe.sources import readers, sinks
+
+    (tmp_path / "a.json").write_text('[{"id": 1, "n": 2.5},\n {"id": 2, "n": null}]')
+    assert sorted(map(tuple, readers.json_records(spark, str(tmp_path / "a.json"), "id long, n double").collect())) == [(1, 2.5), (2, None)]
+    (tmp_path / "t.tsv").write_text("Pos\tRate\n1\t0.5\n2\tNA\n")
+    assert sorted(map(tuple, readers.table(spark, str(tmp_path / "t.tsv"), "Pos long, Rate double").collect())) == [(1, 0.5), (2, None)]
+    made = []
+    make = lambda: made.append(1) or spark.range(5)
+    assert sinks.resumed(spark, f"{tmp_path}/kept", make).count() == sinks.resumed(spark, f"{tmp_path}/kept", make).count() == 5 and len(made) == 1
+
+
+def test_contigs_chunks_and_metrics(spark):
+    from helixframe.sources import sinks
+
+    contigs = spark.createDataFrame([(3, "AC", 5), (3, "G", 1), (4, "T", 0)], "index int, seq string, ord int")
+    assert sorted(r["value"] for r in sinks.fasta(sinks.renamed_contigs(contigs)).collect()) == [">3_0\nG", ">3_1\nAC", ">4_0\nT"]
+    chunks = spark.createDataFrame([(1, 0, True, 0, 0, 77), (1, 1, False, 2, 9, 100)], "read_id long, pos long, is_gap boolean, contig long, unit long, n_bases long")
+    assert sinks.encoded_reads(chunks).toJSON().collect() == ['{"id":1,"seq":[{"G":77},{"E":[2,9]}]}']
+    assert sorted(map(tuple, sinks.metrics(spark.createDataFrame([(0.5, 3)], "acc double, n int"), "RESULT", ["acc", "n"]).collect())) == [("RESULT", "acc", 0.5), ("RESULT", "n", 3.0)]
+    reps = spark.createDataFrame([(0, 5, 9, 1), (1, 3, 4, 1)], "contig long, rs long, re long, ord long")
+    assert sinks.repeats_json(reps).first()[0] == '{"reps":[{"contig":0,"start":5,"end":9},{"contig":1,"start":3,"end":4}]}'
+    nodes, edges = spark.createDataFrame([(1, 2, "AC")], "node long, occ long, seq string"), spark.createDataFrame([], "a long, a_tail boolean, b long, b_tail boolean, occ long")
+    groups = spark.createDataFrame([("g", 2), ("g", 1)], "name string, node long")
+    assert [r["value"] for r in sinks.gfa(nodes, edges, groups).collect()] == ["S\t1\t2\tAC", "U\tg\t1 2"]
