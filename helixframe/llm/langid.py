@@ -5,7 +5,9 @@ own most frequent n-grams are compared with each profile by the out-of-place dis
 where an n-gram that a profile lacks counts as its whole length. The nearest profile names the language.
 
 Defined results: null texts, and texts without a letter, get ``und`` and score 0; equal distances go to the smaller
-language name; equal counts within a profile go by n-gram code; with no profile at all every row is ``und``.
+language name; equal counts within a profile go by n-gram code; with no profile at all every row is ``und``; rows that
+repeat a text are judged alike (a repeated id may give a profile some more documents); a very long text is read whole, in
+one task; an empty table gives no rows and no profiles; other columns pass, but for those that are added.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from helixframe.llm.textblocks import slices
 #: Documents of each language that the profiles are learned from: those of least hash.
 TRAIN_DOCS = 1024
 PROFILE, DOC_GRAMS = 400, 300
+#: Parts of a language's rows, each of which puts forward its least hashes.
+PARTS = 64
 UND = "und"
 
 
@@ -59,7 +63,10 @@ def ranked(code: np.ndarray, count: np.ndarray, most: int) -> np.ndarray:
 def learn_profiles(docs: DataFrame, may_learn: Column, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_docs: int = TRAIN_DOCS, profile: int = PROFILE) -> dict[str, list[int]]:
     """Profiles by language, from at most ``train_docs`` documents of each; ``may_learn`` holds for rows that may be used."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(3)).alias("h"), may_learn.alias("ok")).filter("ok and lang is not null and text is not null")
-    ids = own.select("lang", "h", "id").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("k") <= train_docs)
+    # first within parts of a language, so that no task sorts all of its rows
+    ids = own.select("lang", "h", "id", F.pmod("h", F.lit(PARTS)).alias("part"))
+    for keys in (["lang", "part"], ["lang"]):
+        ids = ids.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "id"))).filter(F.col("k") <= train_docs)
     edge = ids.groupBy("lang").agg(F.max("h").alias("last"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -73,8 +73,13 @@ def _anchor_rows(width: int):
                 at, key, place = window_anchors(h.hashes(raw, starts, ends), row, width)
                 new = np.ones(len(at), bool)
                 new[1:] = (place[1:] != place[:-1]) | (key[1:] != key[:-1])
-                t1 = b.column("t1").to_numpy()
-                yield pa.record_batch([pa.array(key[new].view(np.int64)), pa.array(t1[row[at[new]]])], names=["key", "t1"])
+                # once for each text, with the number of its places
+                doc, own = row[at[new]], key[new]
+                order = np.lexsort((own, doc))
+                doc, own = doc[order], own[order]
+                first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (own[1:] != own[:-1])))) if len(doc) else doc
+                n = np.diff(np.append(first, len(doc))).astype(np.int32)
+                yield pa.record_batch([pa.array(own[first].view(np.int64)), pa.array(b.column("t1").to_numpy()[doc[first]]), pa.array(n)], names=["key", "t1", "n"])
 
     return run
 
@@ -131,15 +136,16 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[
 
 
 def _repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, t1) of rows, sorted by key, whose key others have too."""
+    """(key, t1, n) of rows, sorted by key, whose key others have too, or their text has at several places."""
     held: pa.RecordBatch | None = None  # the first row of a run, until another comes
     for b, new in _runs(batches, ["key"]):
         more = np.append(~new[1:], False)  # does the next row go on with the run
-        again = ~new | more
+        several = b.column("n").to_numpy() > 1
+        again = ~new | more | several
         if held is not None and not new[0]:
             yield held
         held = None
-        if new[-1]:
+        if new[-1] and not several[-1]:
             held = b.slice(len(b) - 1, 1)
         yield b.filter(pa.array(again))
 
@@ -210,9 +216,9 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     named = lambda d: d.withColumns({"id": F.coalesce("doc_id", last), "none": F.col("doc_id").isNull()}).drop("doc_id")
     first = without_keys(named(keyed), named(later), ["id", "none", "t1", "t2"], later_n).drop("none")
     # anchors that the corpus has more than once, by the texts that have them
-    anchors = first.select("text", "t1").mapInArrow(frugal(_anchor_rows(width)), "key long, t1 long")
-    again = stored(spark, anchors.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(frugal(_repeated_keys), "key long, t1 long"), "anchors")
-    hot = again.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT)
+    anchors = first.select("text", "t1").mapInArrow(frugal(_anchor_rows(width)), "key long, t1 long, n int")
+    again = stored(spark, anchors.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(frugal(_repeated_keys), "key long, t1 long, n int"), "anchors")
+    hot = again.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT)
     hot = stored(spark, hot.select("key", F.ceil(F.col("n") / HOT).cast("int").alias("tasks")), "hot")
     dealt = again.join(small_or_shuffled(hot, hot.count()), "key", "left").select("t1", F.struct("key", F.coalesce("tasks", F.lit(1)).alias("tasks")).alias("k"))
     marked = stored(spark, dealt.groupBy("t1").agg(F.collect_set("k").alias("keys")), "marked")  # bounded by one text

@@ -98,3 +98,20 @@ def test_pairs_that_no_linear_model_can_tell(spark):
         found = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, machine).collect()}
         held = [(found[i], y) for i, y in labels if i % 5 == 0]
         assert np.mean([p == y for p, y in held]) >= 0.95
+
+
+def test_profiles_equal_counting_by_hand(spark, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(langid, "PARTS", 3)
+    rng, letters = random.Random(8), langid.letter_table()
+    rows = [(i, " ".join("".join(rng.choice(abc) for _ in range(rng.randrange(1, 6))) for _ in range(9)), lang) for lang, abc in (("aa", "abcd"), ("bb", "bcxé")) for i in range(0 if lang == "aa" else 100, 60 if lang == "aa" else 160)]
+    df = spark.createDataFrame([*rows, (900, None, "aa"), (901, "x", None)], "doc_id long, text string, lang string")
+    got = langid.learn_profiles(df, F.col("doc_id") % 7 != 0, train_docs=11, profile=25)
+    hashes = {r[0]: r[1] for r in df.select("doc_id", F.xxhash64("doc_id", F.lit(3))).collect()}
+    for lang in ("aa", "bb"):
+        use = sorted((hashes[i], i, t) for i, t, x in rows if x == lang and i % 7)[:11]
+        n = Counter()
+        for _, _, t in use:
+            n.update(dict(zip(*(x.tolist() for x in langid.text_grams(t, letters)))))
+        assert got[lang] == [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:25]]

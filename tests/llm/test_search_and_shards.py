@@ -72,3 +72,29 @@ def test_limited_movement_and_bounds(spark):
 def test_walk_goes_on_clockwise():
     ring = [(10, 0), (20, 1), (30, 2)]
     assert sharding.walk({5: 5, 15: 1, 25: 1}, ring, [2, 3, 4]) == [(5, 0, 2, 0, 0), (15, 0, 1, 1, 0), (25, 0, 1, 2, 0), (5, 2, 4, 1, 1), (5, 4, 5, 2, 1)]
+
+
+def test_placement_equals_a_walk_key_by_key(spark):
+    """Keys in the order of their places: each to its own node's shard while that has room, then the rest clockwise."""
+    rows = [(i, "x" * (i % 17)) for i in range(700)] + [(3, "other"), (3, "third")]
+    for shards, nodes in ((5, 8), (40, 64)):
+        out = place(spark, rows, shards, nodes=nodes)
+        at = spark.createDataFrame([(r["doc_id"], r["size"], r["text_crc32"]) for r in out], "doc_id long, size long, text_crc32 long")
+        keyed = [tuple(r) for r in at.select(F.xxhash64("doc_id", "text_crc32", "size", F.lit(17)).alias("at"), "doc_id", "text_crc32").collect()]
+        bits = sharding.cell_bits(shards, nodes)
+        assert (1 << bits) >= 32 * shards * nodes
+        ring = sharding._positions(shards, nodes, 17)
+        room, over, want = sharding.capacities(len(rows), shards), [], {}
+        order = sorted(((a % 2**64) >> (64 - bits), a, d, c) for a, d, c in keyed)
+        for cell, _, d, c in order:
+            node = next((k for k, (x, _) in enumerate(ring) if x >= cell), 0)
+            if room[ring[node][1]]:
+                room[ring[node][1]] -= 1
+                want[d, c] = ring[node][1]
+            else:
+                over.append((cell, node, d, c))
+        for _, node, d, c in over:
+            s = next(ring[(node + k) % len(ring)][1] for k in range(1, len(ring) + 1) if room[ring[(node + k) % len(ring)][1]])
+            room[s] -= 1
+            want[d, c] = s
+        assert {(r["doc_id"], r["text_crc32"]): r["shard"] for r in out} == want
