@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.textblocks import WordHasher, frugal, non_letters, slices, text_bytes
+from helixframe.llm.textblocks import WordHasher, frugal, give_back, non_letters, slices, text_bytes
 
 #: Most labelled documents that a model is fitted on; the sample is the ids of least hash.
 TRAIN_ROWS = 16_384
@@ -99,18 +99,34 @@ def paired_terms(row: np.ndarray, at: np.ndarray, labels: np.ndarray, docs: np.n
     return use[((z > LEAST_PAIR_Z) & often).any(1)]
 
 
+def _known(row: np.ndarray, flat: np.ndarray, terms: np.ndarray, step: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """(row, index of its term) of the occurrences of ``terms``, which are sorted."""
+    rows, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for i in range(0, len(flat) if len(terms) else 0, step):
+        place = np.minimum(np.searchsorted(terms, flat[i : i + step]), len(terms) - 1)
+        hit = terms[place] == flat[i : i + step]
+        rows.append(row[i : i + step][hit])
+        at.append(place[hit])
+    return np.concatenate(rows), np.concatenate(at)
+
+
 def fit_machine(rows: list[np.ndarray], labels: np.ndarray, *, factors: int = FACTORS, epochs: int = EPOCHS, min_docs: int = MIN_DOCS, seed: int = 5) -> Machine:
-    """Adagrad on the logistic loss, classes weighed alike; L1 on the weights sets idle terms to 0 exactly."""
+    """Adagrad on the logistic loss, classes weighed alike; L1 on the weights sets idle terms to 0 exactly. ``rows`` is emptied."""
     n = len(rows)
-    flat = np.concatenate([*rows, np.zeros(0, np.uint64)]).astype(np.uint64)
-    row = np.repeat(np.arange(n), [len(r) for r in rows]) if n else np.zeros(0, np.int64)
-    terms, at, docs = np.unique(flat, return_inverse=True, return_counts=True)
+    size = np.array([len(r) for r in rows], np.int64)
+    flat = np.concatenate([*rows, np.zeros(0, np.uint64)]).astype(np.uint64, copy=False)
+    rows.clear()
+    terms, docs = np.unique(flat, return_counts=True)
+    # most terms are rare; what follows holds the others only
+    terms, docs = terms[docs >= min_docs], docs[docs >= min_docs]
+    row, at = _known(np.repeat(np.arange(n, dtype=np.int32), size), flat, terms)
+    del flat
     positive = int(labels.sum())
     toxic_docs = np.bincount(at, labels[row], len(terms)) if n else np.zeros(0)
     rate = docs / max(n, 1)
     error = np.sqrt(rate * (1 - rate) * (1 / max(positive, 1) + 1 / max(n - positive, 1)))
     apart = np.abs(toxic_docs / max(positive, 1) - (docs - toxic_docs) / max(n - positive, 1))
-    alone = (docs >= min_docs) & (apart > LEAST_Z * error)
+    alone = apart > LEAST_Z * error
     if n:
         alone[paired_terms(row, at, labels, docs, min_docs)] = True
     kept = np.flatnonzero(alone)
@@ -177,13 +193,17 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, *, id_col: str =
 
     found = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select(F.col(id_col).alias("id"), "label", "text")
     table = found.mapInArrow(frugal(features), T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("label", T.IntegerType()), T.StructField("terms", T.ArrayType(T.LongType()))])).toArrow()
-    by_id: dict = {}
-    for i, y, t in zip(table["id"].to_pylist(), table["label"].to_pylist(), (x.values.to_numpy() for x in table["terms"]), strict=True):
-        key = (i, t.tobytes())
-        if i not in by_id or key < by_id[i][0]:  # of repeated ids one row, whichever comes first
-            by_id[i] = (key, y, t.astype(np.uint64))
-    order = sorted(by_id)
-    return fit_machine([by_id[i][2] for i in order], np.array([by_id[i][1] for i in order]))
+    ids, marks, lists = table["id"].to_pylist(), table["label"].to_pylist(), [x.values.to_numpy().view(np.uint64) for x in table["terms"]]
+    first: dict = {}
+    for k, i in enumerate(ids):  # of repeated ids one row, whichever comes first in the order of its terms
+        if i not in first or lists[k].tobytes() < lists[first[i]].tobytes():
+            first[i] = k
+    order = [first[i] for i in sorted(first)]
+    rows, y = [lists[k] for k in order], np.array([marks[k] for k in order])
+    del table, lists
+    machine = fit_machine(rows, y)
+    give_back()
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, *, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted", threshold: float = 0.5) -> DataFrame:
