@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helixframe.llm.common import bound, stored
+from helixframe.llm.common import bound, discard, stored
 
 #: Turns of a stretch in the as-of search.
 STRETCH = 256
@@ -105,15 +105,19 @@ def replies(messages: DataFrame) -> DataFrame:
 
 
 def threads(links: DataFrame) -> DataFrame:
-    """(conv_id, turn, thread, depth) from (conv_id, turn, parent), one row for each turn; by pointer jumping."""
-    spark = links.sparkSession
-    at = stored(spark, links.select("conv_id", "turn", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth")), "threads")
-    while True:
+    """(conv_id, turn, thread, depth) from (conv_id, turn, parent), one row for each turn; by pointer jumping.
+
+    A turn whose parent has none is done; only the others look further up in the next round.
+    """
+    spark, names = links.sparkSession, ["conv_id", "turn", "up", "depth", "open"]
+    at = stored(spark, links.select("conv_id", "turn", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"), F.lit(True).alias("open")), "threads")
+    while not at.filter("open").isEmpty():
         above = at.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
-        new = stored(spark, at.join(above, ["conv_id", "up"], "left").select("conv_id", "turn", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.col("up2").isNotNull().alias("moved")), "threads")
-        at = new.drop("moved")
-        if new.filter("moved").isEmpty():
-            return at.withColumnRenamed("up", "thread")
+        moved = at.filter("open").drop("open").join(above, ["conv_id", "up"], "left").select("conv_id", "turn", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.col("up2").isNotNull().alias("open"))
+        new = stored(spark, at.filter("not open").unionByName(moved).select(*names), "threads")
+        discard(at)
+        at = new
+    return at.select("conv_id", "turn", F.col("up").alias("thread"), "depth")
 
 
 def turn_before(messages: DataFrame) -> DataFrame:
