@@ -20,7 +20,7 @@ def with_default(rows: DataFrame, label: str, default: int = -1) -> DataFrame:
 def dense_rename(rows: DataFrame, label: str) -> DataFrame:
     """Labels renumbered from 0 in their order; the map has one row for each label."""
     names = rows.select(label).filter(F.col(label).isNotNull()).distinct().withColumn("new", (F.dense_rank().over(Window.orderBy(label)) - 1).cast("long"))
-    return rows.join(F.broadcast(names), label, "left")
+    return rows.join(names, label, "left")
 
 
 def frequent_labels(rows: DataFrame, key: str, label: str, over: int) -> DataFrame:

@@ -57,10 +57,16 @@ def components(edges: DataFrame, most: int = 64) -> DataFrame:
 
 
 def _set_folder(df: DataFrame) -> None:
-    """Sets the session's checkpoint folder from its setting, or one of our own where it is unset."""
+    """Sets the session's checkpoint folder from its setting; a local session that has none, as in tests, gets one of its own."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
+    if spark.sparkContext.getCheckpointDir():
+        return
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="helixframe-"))
+        found = tempfile.mkdtemp(prefix="helixframe-")
+    spark.sparkContext.setCheckpointDir(found)
 

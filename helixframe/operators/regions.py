@@ -34,7 +34,7 @@ def confluent_regions(units: DataFrame, least: int = 15, sigmas: float = 4.0, ed
 
 def region_reads(units: DataFrame, regions: DataFrame) -> DataFrame:
     """(region, read_id): reads with a unit inside a region (region, contig, start, end), end exclusive."""
-    inside = units.join(F.broadcast(regions), "contig").filter((F.col("unit") >= F.col("start")) & (F.col("unit") < F.col("end")))
+    inside = units.join(regions, "contig").filter((F.col("unit") >= F.col("start")) & (F.col("unit") < F.col("end")))
     return inside.select("region", "read_id").distinct()
 
 
@@ -44,7 +44,7 @@ def spanning_reads(units: DataFrame, regions: DataFrame) -> DataFrame:
     wraps = F.col("end") + 2 * OFFSET >= F.col("longest")
     right = F.when(wraps, F.col("unit") < OFFSET).otherwise((F.col("unit") >= F.col("end") + OFFSET) & (F.col("unit") < F.col("end") + 2 * OFFSET))
     last = units.groupBy("contig").agg(F.max("unit").alias("longest"))
-    both = units.join(F.broadcast(regions.join(last, "contig")), "contig")
+    both = units.join(regions.join(last, "contig"), "contig")
     return both.groupBy("region", "read_id").agg(F.bool_or(left).alias("l"), F.bool_or(right).alias("r")).filter("l and r").select("region", "read_id")
 
 

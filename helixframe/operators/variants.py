@@ -125,7 +125,7 @@ def call_variants(piles: DataFrame, p: float, sigmas: float = 8.0) -> DataFrame:
 
 def variant_pairs(bases: DataFrame, sites: DataFrame, least: int = 3) -> DataFrame:
     """(pos1, pos2, tot, mac1, mac2, share) of pairs of sites over the reads that cover both, with share > ``least``."""
-    at = bases.join(F.broadcast(sites.select("pos", "minor")), "pos").select("read_id", "pos", (F.col("base") == F.col("minor")).alias("m"))
+    at = bases.join(sites.select("pos", "minor"), "pos").select("read_id", "pos", (F.col("base") == F.col("minor")).alias("m"))
     a, b = at.select("read_id", F.col("pos").alias("pos1"), F.col("m").alias("m1")), at.select("read_id", F.col("pos").alias("pos2"), F.col("m").alias("m2"))
     both = a.join(b, "read_id").filter("pos1 < pos2")
     n = lambda c: F.count_if(c)
