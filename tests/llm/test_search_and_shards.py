@@ -40,6 +40,27 @@ def test_topk_small_tables(spark):
     assert topk.exact_topk(df.filter("false"), F.col("id") == 0, 5).collect() == []
 
 
+def test_vectors_reach_no_driver(spark, monkeypatch):
+    """Copies of the queries, one for each group of rows, were a broadcast: the driver held them all."""
+    monkeypatch.setattr(topk, "ROW_BLOCK", 64)
+    rng = random.Random(9)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(600)]
+    found = topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") % 50 == 0, 5)
+    assert sorted(tuple(r) for r in found.collect()) == brute(rows, 5, 50)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_groups_of_queries(spark, monkeypatch):
+    """More queries than a task holds, components of every width, zeros, copies and vectors of several lengths."""
+    for name, value in (("QUERY_NUMBERS", 40), ("ROW_BLOCK", 7), ("QUERY_BLOCK", 2), ("TILE", 1)):
+        monkeypatch.setattr(topk, name, value)
+    rng = random.Random(12)
+    rows = [(i, [rng.choice([0.0, 0.0, 0.5, rng.uniform(-1, 1), 300.0 * (i == 40), 2.0**20 * (i == 41)]) for _ in range(8 - i % 3)]) for i in range(90)]
+    rows += [(100 + i, rows[i % 2][1]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in topk.exact_topk(df, F.col("id") % 5 == 0, 4).collect()) == brute(rows, 4, 5)
+
+
 def test_large_weights_do_not_overflow():
     a = np.array([[2**20, -(2**20)]])
     assert topk.accumulate(a, a).tolist() == [[2**41]]
