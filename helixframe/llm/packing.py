@@ -16,8 +16,8 @@ rest, shorter than a window) is packed with the rests of other documents that ar
   cut into pieces whose lengths are powers of two, and no sequence is padded.
 
 The work of a round is linear in the rests; a search of all rests for each window would be quadratic. The README tells
-how near the neighbours are that windows so get, against a search of everything. Rare terms are weighed, for the keys
-only, by their frequency in a sample of ROUTE_DOCS documents.
+how near the neighbours are that windows so get, against a search of everything. The keys weigh terms as the index does,
+by their document frequencies over all documents, so they are made once these are counted.
 
 Defined results: a null text is empty and has the end id only; equal scores go to the rest that is read first; rows that
 repeat an id are packed as documents of their own; a very long text is cut like any other, within one task; an empty
@@ -48,8 +48,8 @@ WINDOW = 1024
 SHARD_ROWS = 1024
 #: Least share of a seed's score with itself that a neighbour needs, by round. Later rounds take any.
 NEAR = (0.85, 0.7)
-#: Documents, about, that weigh the terms for the lexical keys; terms of a key; keys: later rounds use them again.
-ROUTE_DOCS, KEY_TERMS, KEYS = 2048, 4, 3
+#: Terms of a lexical key; keys: later rounds use them again.
+KEY_TERMS, KEYS = 4, 3
 K1, B = 1.2, 0.75
 DENSE = 16
 
@@ -117,8 +117,7 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
 
 
-_KEYS = [f"key{k}" for k in range(KEYS)]
-_CUT = "doc_id long, doc_tokens long, start long, length long, ids_crc32 long, rest_id long, ids binary, size long, terms binary, times binary, " + ", ".join(f"{k} long" for k in _KEYS)
+_CUT = "doc_id long, doc_tokens long, start long, length long, ids_crc32 long, rest_id long, ids binary, size long, terms binary, times binary"
 
 
 def _short(x: np.ndarray) -> bytes:
@@ -134,81 +133,69 @@ def _terms(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u4").astype(np.int64)
 
 
-def orders(weight: np.ndarray) -> np.ndarray:
-    """For each key and place in it: a random order of the terms, in which heavy ones tend to come early."""
+def orders(weight: np.ndarray, key: int) -> np.ndarray:
+    """For each place in a key: a random order of the terms, in which heavy ones tend to come early."""
     term = np.arange(len(weight), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    drawn = np.array([mix(term + np.uint64(k + 1)) >> np.uint64(11) for k in range(KEYS * KEY_TERMS)]).astype(float)
+    drawn = np.array([mix(term + np.uint64(k + 1)) >> np.uint64(11) for k in range(key * KEY_TERMS, (key + 1) * KEY_TERMS)]).astype(float)
     return (-np.log((drawn + 1) / 2**53) / np.maximum(weight, 1e-9)).astype(np.float32)
 
 
-def lexical_keys(terms: list[np.ndarray], order: np.ndarray) -> np.ndarray:
-    """KEYS keys for each document, given by its distinct terms: the first of its terms in each of several orders."""
+def lexical_key(terms: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    """A key for each document, given by its distinct terms: the first of its terms in each of several orders."""
     n = np.array([len(t) for t in terms])
     flat, first = np.concatenate(terms).astype(np.int64), np.cumsum(n) - n
-    known, out = np.minimum(flat, order.shape[1] - 1), np.zeros((KEYS, len(terms)), np.int64)
-    for k, o in enumerate(order):
-        value = o[known]
+    out = np.zeros(len(terms), np.int64)
+    for o in order:
+        value = o[flat]
         at = np.flatnonzero(value == np.repeat(np.minimum.reduceat(value, first), n))
         least = np.zeros(len(terms), np.int64)
         least[np.searchsorted(first, at, "right") - 1] = flat[at] & 0xFFFF
-        out[k // KEY_TERMS] = (out[k // KEY_TERMS] << 16) | least
+        out = (out << 16) | least
     return out
 
 
-def _cut(tokens, weights, special: bool, window: int, end_id: int):
+def _cut(tokens, special: bool, window: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, order, rest_id = encoder(tokens.value, special), orders(weights.value), TaskContext.get().partitionId() << 32
+        enc, rest_id = encoder(tokens.value, special), TaskContext.get().partitionId() << 32
+        have = np.zeros(tokens.value.size, np.int64)  # documents of the task that have each id
+
+        def shaped(columns: list) -> pa.RecordBatch:
+            kinds = [pa.int64()] * 6 + [pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _CUT.split(", ")])
+
         for batch in batches:
             for b in slices(batch, "text"):
                 out: list[list] = [[] for _ in range(10)]
-                found, owner = [], []
                 for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                     ids = np.append(enc.ids(text), np.uint32(end_id))
                     full = len(ids) // window * window
                     rows = [(i, len(ids), s, window, crc(ids[s : s + window]), None, None, None, None, None) for s in range(0, full, window)]
                     # the whole text is indexed, and counted also where no rest is left of it
                     terms, times = np.unique(ids, return_counts=True)
+                    if terms[-1] >= len(have):
+                        have = np.append(have, np.zeros(terms[-1] + 1 - len(have), np.int64))
+                    have[terms] += 1
                     rest = ids[full:]
                     rows.append((i, len(ids), full, len(rest), None, rest_id if len(rest) else None, rest.astype("<u4").tobytes(), len(ids), terms.astype("<u4").tobytes(), _short(times)))
                     rest_id += 1
                     for c, v in zip(out, zip(*rows, strict=True), strict=True):
                         c += v
-                    found.append(terms)
-                    owner.append(len(out[0]) - 1)
-                keys = np.zeros((KEYS, len(out[0])), np.int64)
-                keys[:, owner] = lexical_keys(found, order)
-                kinds = [pa.int64()] * 6 + [pa.binary(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.record_batch([*(pa.array(c, k) for c, k in zip(out, kinds, strict=True)), *map(pa.array, keys)], names=[c.split()[0] for c in _CUT.split(", ")])
-
-    return run
-
-
-def _count_terms(shared, special: bool):
-    """Documents of the sample that have each id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(shared.value, special)
-        for b in batches:
-            terms = [np.unique(enc.ids(t)) for t in b.column("text").to_pylist()]
-            u, n = np.unique(np.concatenate(terms), return_counts=True)
-            yield pa.record_batch([pa.array(u.astype(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
+                yield shaped(out)
+        # a row of its own, without a size, tells how many documents have each id
+        at = np.flatnonzero(have)
+        if len(at):
+            yield shaped([*[[None]] * 8, [at.astype("<u4").tobytes()], [have[at].astype("<u8").tobytes()]])
 
     return run
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents that have each id: one row for each id and task."""
-    n = np.zeros(1 << 16, np.int64)
+    """Documents that have each id: one row for each id and task that cut."""
     for b in batches:
-        for raw in b.column("terms").to_pylist():
-            u = _terms(raw)
-            if len(u) and u[-1] >= len(n):
-                n = np.append(n, np.zeros(u[-1] + 1 - len(n), np.int64))
-            n[u] += 1
-    at = np.flatnonzero(n)
-    yield pa.record_batch([pa.array(at), pa.array(n[at])], names=["term", "n"])
+        for raw, n in zip(b.column("terms").to_pylist(), b.column("times").to_pylist(), strict=True):
+            yield pa.record_batch([pa.array(_terms(raw)), pa.array(np.frombuffer(n, "<u8").astype(np.int64))], names=["term", "n"])
 
 
 class Index:
@@ -314,26 +301,44 @@ class Shard:
         return out
 
 
-_OPEN = "kind int, window_id long, item_id long, n long, offset long, size long, terms binary, times binary, " + ", ".join(f"{k} long" for k in _KEYS)
+_OPEN = "kind int, window_id long, item_id long, n long, offset long, size long, terms binary, times binary, key long"
+
 
+def _keyed(shared, key: int):
+    """Rests with one of the keys."""
 
-def _round(shared, window: int, least: float, shard_rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = orders(shared.value[0], key)
+        for b in batches:
+            if len(b):
+                made = lexical_key([_terms(t) for t in b.column("terms").to_pylist()], order)
+                yield pa.record_batch([*b.columns, pa.array(made)], names=[*b.schema.names, "key"])
+
+    return run
+
+
+def _round(shared, window: int, least: float, shard_rows: int, following: int):
     """Rows come in the order of the round's key. Gives the pieces of full windows (kind 1) and the open rests (kind 0).
 
+    Open rests get the ``following`` key.
+
     In rounds that take any neighbour, what is open at a shard's end goes on in the next shard of its task.
     """
     names = [c.split()[0] for c in _OPEN.split(", ")]
-    kinds = [pa.int32(), *[pa.int64()] * 5, pa.binary(), pa.binary(), *[pa.int64()] * KEYS]
+    kinds = [pa.int32(), *[pa.int64()] * 5, pa.binary(), pa.binary(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, mean = shared.value
+        order = orders(idf, following)
 
         def solve(rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
             item, n, size = (np.array([r[k] for r in rows], np.int64) for k in (2, 3, 5))
             terms = [_terms(r[6]) for r in rows]
             s = Shard(item, n, size, terms, [_long(r[7], len(t)) for r, t in zip(rows, terms, strict=True)], idf, mean)
-            pieces = [(1, *p, *[None] * (3 + KEYS)) for p in s.fill(least, window)]
-            return pieces, [(0, None, int(s.item[k]), int(s.n[k]), 0, *r[5:]) for k, r in enumerate(rows) if s.n[k]]
+            pieces = [(1, *p, *[None] * 4) for p in s.fill(least, window)]
+            open_ = np.flatnonzero(s.n).tolist()
+            keys = lexical_key([terms[k] for k in open_], order).tolist() if open_ else []
+            return pieces, [(0, None, int(s.item[k]), int(s.n[k]), 0, *rows[k][5:8], key) for k, key in zip(open_, keys, strict=True)]
 
         def shaped(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(rows), 4096):
@@ -429,29 +434,16 @@ def _finish(shared, window: int):
     return run
 
 
-def _term_weights(docs: DataFrame, vocabulary, size: int, special: bool) -> np.ndarray:
-    """How rare each id is in a sample of about ROUTE_DOCS documents, whose hashes are the least."""
-    n = docs.count()
-    share = min(1.0, ROUTE_DOCS / max(n, 1))
-    drawn = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).select("text").limit(2 * ROUTE_DOCS)
-    counted = drawn.mapInArrow(frugal(_count_terms(vocabulary, special)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary
-    df = np.zeros(max([size, *(r["term"] + 1 for r in counted)]))
-    df[[r["term"] for r in counted]] = [r["n"] for r in counted]
-    most = max(min(n, ROUTE_DOCS), df.max(initial=1))
-    return np.log1p((most - df + 0.5) / (df + 0.5))
-
-
 def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = 0, shard_rows: int = SHARD_ROWS, special: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for each piece. vocabulary: the file's text; special: see Encoder."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = read_vocabulary(vocabulary)
     tokens = spark.sparkContext.broadcast(known)  # a file of a fixed size
-    weights = spark.sparkContext.broadcast(_term_weights(own, tokens, known.size, special))  # a number for each id
-    cut = stored(spark, own.mapInArrow(frugal(_cut(tokens, weights, special, window, end_id)), _CUT), "cut")
-    rests, texts = cut.filter("rest_id is not null"), cut.filter("terms is not null")
+    cut = stored(spark, own.mapInArrow(frugal(_cut(tokens, special, window, end_id)), _CUT), "cut")
+    rests, texts = cut.filter("rest_id is not null"), cut.filter("size is not null")
     n, total = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    counted = texts.select("terms").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary
+    counted = cut.filter("size is null and terms is not null").select("terms", "times").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary
     size = max([known.size, *(r["term"] + 1 for r in counted)])
     df = np.zeros(size)
     df[[r["term"] for r in counted]] = [r["n"] for r in counted]
@@ -471,16 +463,18 @@ def _packed(rests: DataFrame, index, window: int, shard_rows: int) -> DataFrame:
     spark = rests.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     zero = F.lit(0).cast("long")
-    left = rests.select(F.lit(0).alias("kind"), F.lit(None).cast("long").alias("window_id"), (F.col("rest_id") * window).alias("item_id"), F.col("length").alias("n"), zero.alias("offset"), "size", "terms", "times", *_KEYS)
+    left = rests.select(F.lit(0).alias("kind"), F.lit(None).cast("long").alias("window_id"), (F.col("rest_id") * window).alias("item_id"), F.col("length").alias("n"), zero.alias("offset"), "size", "terms", "times")
     placed: list[str] = []  # files of each round, read together: plans stay as small as in the first round
     k, slow, (n, ids) = 0, False, left.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), zero)).first()
+    if n > shard_rows and ids >= window:
+        left = left.mapInArrow(_keyed(index, 0), _OPEN)
     while n > shard_rows and ids >= window:
-        key, least = _KEYS[k % KEYS], NEAR[k] if k < len(NEAR) else 0.0
+        least = NEAR[k] if k < len(NEAR) else 0.0
         # shards follow each other within a partition, so there are no more of these than the session asks for; a round
         # that takes any neighbour leaves less than a window of each partition
         wide = min(parts, -(-n // (12 * max(shard_rows, window))))
-        dealt = left.coalesce(1) if slow else left.repartitionByRange(wide, key, "item_id")
-        out = stored(spark, dealt.sortWithinPartitions(key, "item_id").mapInArrow(frugal(_round(index, window, least, shard_rows)), _OPEN), "round")
+        dealt = left.coalesce(1) if slow else left.repartitionByRange(wide, "key", "item_id")
+        out = stored(spark, dealt.sortWithinPartitions("key", "item_id").mapInArrow(frugal(_round(index, window, least, shard_rows, (k + 1) % KEYS)), _OPEN), "round")
         placed += out.inputFiles()
         left = out.filter("kind = 0")
         before, (n, ids) = n, left.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), zero)).first()

@@ -149,6 +149,28 @@ def test_a_rest_is_found_by_its_whole_document(spark, monkeypatch):
     assert all(np.isclose(idf[t], np.log1p((4 - n + 0.5) / (n + 0.5))) for t, n in ((0, 4), (7815, 2), (7850, 2), (1, 0)))
 
 
+def test_keys_weigh_terms_by_all_documents(spark, monkeypatch):
+    """More documents than the 2,048 whose sample weighed the terms before."""
+    rng, seen, packed = np.random.default_rng(4), [], packing._packed
+    texts = [" ".join(rng.choice(["sea", "sun", "moon", "star", "wind", "rain"], 5)) + (" granite" if k % 7 == 0 else "") for k in range(2600)]
+    monkeypatch.setattr(packing, "_packed", lambda rests, index, *rest: seen.append((rests, index)) or packed(rests, index, *rest))
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), vocabulary(), window=64, shard_rows=500).collect()
+    ids = reference_ids(texts)
+    check(rows, dict(enumerate(ids)), 64)
+    rests, index = seen[0]
+    have = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=len(index.value[0]))
+    assert np.allclose(index.value[0], np.log1p((2600 - have + 0.5) / (have + 0.5)))
+    for key in range(packing.KEYS):
+        order = packing.orders(np.log1p((2600 - have + 0.5) / (have + 0.5)), key)
+        got = rests.select("doc_id", "terms").mapInArrow(packing._keyed(index, key), "doc_id long, terms binary, key long").collect()
+        assert len(got) == sum(len(x) % 64 > 0 for x in ids)
+        for r in got:
+            want = 0
+            for o in order:
+                want = want << 16 | min(set(ids[r["doc_id"]]), key=lambda t: o[t])
+            assert r["key"] == np.array([want & 2**64 - 1], np.uint64).astype(np.int64)[0]
+
+
 def test_added_tokens_are_special_in_the_query(spark, tmp_path):
     texts = [*TEXTS, "a <|endoftext|> is", "<|endoftext|><|endoftext|>x  <|endof", "e\n<|endoftext|>\n\nf"]
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
