@@ -29,7 +29,6 @@ from __future__ import annotations
 import json
 import sys
 import zlib
-from array import array
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -92,16 +91,16 @@ class Encoder:
 
             library = Tokenizer.from_str(vocabulary.text)
             library.encode_special_tokens = not special
-            self.encode = lambda text: library.encode(text, add_special_tokens=False).ids
+            self.encode = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)
             return
         import tiktoken
 
         split = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         made = tiktoken.Encoding("own", pat_str=split, mergeable_ranks=vocabulary.ranks, special_tokens=vocabulary.added if special else {})
-        self.encode = partial(made.encode, allowed_special="all") if special else made.encode_ordinary
+        self.encode = partial(made.encode_to_numpy, allowed_special="all" if special else set(), disallowed_special=())
 
     def ids(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(array("I", self.encode(text) if text else []), np.uint32)
+        return self.encode(text) if text else np.zeros(0, np.uint32)
 
 
 def encoder(vocabulary: Vocabulary, special: bool = False) -> Encoder:
